@@ -40,9 +40,20 @@ def stored(df: DataFrame, name: str = "table", sort: list[str] | None = None) ->
     spark = df.sparkSession
     path = new_path(spark, name)
     (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df with rows that lie in the same partitions each time it is read, so that numbers by place can be joined back."""
+    return stored(df, "steady") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more; it notices when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

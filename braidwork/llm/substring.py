@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WordHash, grams, mapped, new_path, partitions, signed, stored, words
+from .common import BATCH_ROWS, WordHash, grams, mapped, new_path, partitions, release, signed, steady, stored, words
 
 #: Words of a window and of a gram; batches that a whole table is taken in; runs of a level that are compacted.
 WINDOW, GRAM, BATCHES, FAN = 35, 8, 2, 4
@@ -58,36 +59,37 @@ def spans_hash(h: np.ndarray, first: np.ndarray, count: np.ndarray, window: int,
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of (anchor, segment hash, number, place of the first) in the shared folder."""
+    """Immutable runs of (anchor, segment, n, loc), dealt by anchor and sorted, in the shared folder.
+
+    A run is a bucketed table, so that runs are merge-joined on their anchors without moving either.
+    """
 
     def __init__(self, spark, buckets: int | None = None, fan: int = FAN) -> None:  # noqa: ANN001
         self.spark, self.fan, self.buckets = spark, fan, buckets or partitions(spark)
         self.levels: list[list[DataFrame]] = [[]]
 
     def _run(self, rows: DataFrame) -> DataFrame:
-        """Written once, dealt by anchor and sorted; never changed."""
-        path = new_path(self.spark, "run")
-        rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "segment").write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def history(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        out = None
-        for r in runs:
-            out = r if out is None else out.unionByName(r)
-        return out
+        """Written once and never changed."""
+        name = f"braidwork_run_{uuid.uuid4().hex[:12]}"
+        table = rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor", "segment")
+        table.format("parquet").option("compression", "zstd").option("path", new_path(self.spark, "run")).saveAsTable(name)
+        release(self.spark)
+        return self.spark.table(name)
+
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Append a batch (anchor, segment, loc); returns the anchors of it that the history, or the batch itself, holds elsewhere.
+        """Append a batch (anchor, segment, uid, place); returns the anchors of it that the history, or the batch itself, holds elsewhere.
 
         Compacts levels that are full.
         """
-        run = self._run(batch.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min("loc").alias("loc")))
+        run = self._run(batch.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("loc")))
         own = run.groupBy("anchor").agg(F.sum("n").alias("n"))
-        before = self.history()
         met = own.where("n > 1").select("anchor")
-        if before is not None:
-            met = met.unionByName(own.where("n = 1").join(before.select("anchor").distinct(), "anchor", "left_semi").select("anchor"))
+        for before in self.runs():
+            met = met.unionByName(own.where("n = 1").select("anchor").join(before.select("anchor").distinct(), "anchor"))
+        met = stored(met.distinct(), "met")
         self.levels[0].append(run)
         level = 0
         while len(self.levels[level]) >= self.fan:
@@ -97,30 +99,32 @@ class FingerprintIndex:
 
     def compact(self, level: int) -> None:
         """Merge a level's runs into one of the next."""
-        rows = self.levels[level][0]
-        for r in self.levels[level][1:]:
-            rows = rows.unionByName(r)
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(self._run(self._summed(rows)))
+        self.levels[level + 1].append(self._run(self._summed(self.levels[level])))
         self.levels[level] = []
 
     @staticmethod
-    def _summed(rows: DataFrame) -> DataFrame:
+    def _summed(runs: list[DataFrame]) -> DataFrame:
+        rows = runs[0]
+        for r in runs[1:]:
+            rows = rows.unionByName(r)
         return rows.groupBy("anchor", "segment").agg(F.sum("n").alias("n"), F.min("loc").alias("loc"))
 
     def shared(self, met: DataFrame) -> DataFrame:
         """anchor, segment, _n, _first of all segments with an anchor that was met again, and how many of its segments have no equal."""
-        rows = self._summed(self.history()).join(met.select("anchor").distinct(), "anchor", "left_semi")
+        met = met.select("anchor").distinct()
+        rows = self._summed([r.join(met, "anchor", "left_semi") for r in self.runs()])
         odd = rows.groupBy("anchor").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("_odd"))
         return rows.join(odd, "anchor").select("anchor", "segment", F.col("n").alias("_n"), F.col("loc").alias("_first"), "_odd")
 
 
-#: Places pack a row's number and a window's number into one long.
-PLACE_BITS = 23
+#: A place packs a first window and a number of windows into one long.
+COUNT_BITS = 20
 
 
 def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """anchor, segment, uid, place of every segment of rows (uid, text)."""
     hash_of = WordHash()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +136,12 @@ def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 if len(anchor):
                     out[0].append(signed(anchor))
                     out[1].append(signed(spans_hash(h, first, count, window, 0)))
-                    out[2].append((uid << PLACE_BITS) + first)
-                    out[3].append(count)
+                    out[2].append(np.full(len(first), uid, np.int64))
+                    out[3].append(first << COUNT_BITS | count)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out[:3]] + [pa.array(np.concatenate(out[3]).astype(np.int32))], names=["anchor", "segment", "loc", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["anchor", "segment", "uid", "place"])
 
-    return rows.select("uid", "text").mapInArrow(run, "anchor long, segment long, loc long, count int")
+    return rows.mapInArrow(run, "anchor long, segment long, uid long, place long")
 
 
 def _windows(work: DataFrame, window: int) -> DataFrame:
@@ -146,17 +150,23 @@ def _windows(work: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[], [], []]
-            for uid, text, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = [[], [], [], []]
+            for uid, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = hash_of(words(text))
-                at = np.concatenate([np.arange(x["first"], x["first"] + x["count"]) for x in spans])
+                at = np.concatenate([np.arange(f, f + c) for f, c in spans_of(places)])
                 out[0].append(signed(grams(h, window)[at]))
                 out[1].append(signed(grams(h, window, 1)[at]))
-                out[2].append((uid << PLACE_BITS) + at)
+                out[2].append(np.full(len(at), uid, np.int64))
+                out[3].append(at)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["h1", "h2", "loc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["h1", "h2", "uid", "first"])
+
+    return work.mapInArrow(run, "h1 long, h2 long, uid long, first long")
+
 
-    return work.mapInArrow(run, "h1 long, h2 long, loc long")
+def spans_of(places: list[int] | None) -> list[tuple[int, int]]:
+    """(first window, number of windows) of packed places."""
+    return [(p >> COUNT_BITS, p & ((1 << COUNT_BITS) - 1)) for p in places or ()]
 
 
 def covered(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -168,42 +178,42 @@ def covered(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarr
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """docs, in the shared folder, with _uid and _spans: windows (first, count) whose words occur elsewhere, null if none.
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, clean_text: bool = True) -> DataFrame:
+    """docs, in the shared folder, with _places: the windows whose words occur elsewhere, packed (see spans_of), null if none.
 
-    Any columns of docs but these two are kept.
+    Any columns of docs but _uid and _places are kept; without clean_text, texts that need no cut become null.
     """
     spark = docs.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    docs = docs.drop("_uid", "_spans")
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    # Every row's segments, once; batches are by row.
-    found = stored(_anchors(rows.select(F.col("_uid").alias("uid"), "text"), window, gram), "segments")
+    docs = steady(docs)
+    rows = docs.drop("_uid", "_places").withColumn("_uid", F.monotonically_increasing_id())
+    found = stored(_anchors(docs.select(F.monotonically_increasing_id().alias("uid"), "text"), window, gram), "segments")
     index = FingerprintIndex(spark)
     met = None
     for b in range(batches):
-        part = found.where(F.pmod(F.xxhash64(F.shiftrightunsigned("loc", PLACE_BITS)), F.lit(batches)) == b) if batches > 1 else found
-        new = index.add(part)
+        new = index.add(found.where(F.pmod(F.xxhash64("uid"), F.lit(batches)) == b))
         met = new if met is None else met.unionByName(new)
     hits = found.join(index.shared(met), ["anchor", "segment"])
     # Settled: an equal segment exists. To compare: segments without an equal, and the first of the equals that share their anchor.
     settled = F.col("_n") > 1
-    compare = ~settled | ((F.col("_odd") > 0) & (F.col("loc") == F.col("_first")))
-    place = F.struct(F.col("loc").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("first"), "count")
-    by_row = hits.where(settled | compare).groupBy(F.shiftright("loc", PLACE_BITS).alias("_uid")).agg(
-        F.collect_list(F.when(settled, place)).alias("_settled"), F.collect_list(F.when(compare, place)).alias("_compare")
+    compare = ~settled | ((F.col("_odd") > 0) & (F.col("_first.uid") == F.col("uid")) & (F.col("_first.place") == F.col("place")))
+    by_row = hits.where(settled | compare).groupBy(F.col("uid").alias("_uid")).agg(
+        F.collect_list(F.when(settled, F.col("place"))).alias("_settled"), F.collect_list(F.when(compare, F.col("place"))).alias("_compare")
     )
-    work = stored(rows.join(by_row, "_uid", "left"), "work")
+    joined = rows.join(by_row, "_uid", "left")
+    if not clean_text:
+        joined = joined.withColumn("text", F.when(F.col("_settled").isNotNull(), F.col("text")))
+    work = stored(joined, "work")
 
     windows = stored(_windows(work.where(F.size("_compare") > 0).select("_uid", "text", "_compare"), window), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    one = F.struct(F.col("loc").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("first"), F.lit(1).alias("count"))
-    singles = windows.join(twice, ["h1", "h2"]).groupBy(F.shiftright("loc", PLACE_BITS).alias("_uid")).agg(F.collect_list(one).alias("_single"))
-    none = F.array().cast("array<struct<first:int,count:int>>")
-    spans = F.concat(F.coalesce("_settled", none), F.coalesce("_single", none))
-    hit = work.where(F.col("_settled").isNotNull()).join(singles, "_uid", "left").withColumn("_spans", spans).drop("_settled", "_compare", "_single")
-    clean = work.where(F.col("_settled").isNull()).withColumn("_spans", F.lit(None).cast("array<struct<first:int,count:int>>")).drop("_settled", "_compare")
+    one = F.shiftleft("first", COUNT_BITS).bitwiseOR(F.lit(1))
+    singles = windows.join(twice, ["h1", "h2"]).groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(one).alias("_single"))
+    none = F.array().cast("array<bigint>")
+    places = F.concat(F.coalesce("_settled", none), F.coalesce("_single", none))
+    hit = work.where(F.col("_settled").isNotNull()).join(singles, "_uid", "left").withColumn("_places", places).drop("_settled", "_compare", "_single", "_uid")
+    clean = work.where(F.col("_settled").isNull()).withColumn("_places", F.lit(None).cast("array<bigint>")).drop("_settled", "_compare", "_uid")
     return hit.unionByName(clean)
 
 
@@ -215,22 +225,22 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated rows repeat each other's windows. An empty table gives an empty result.
     """
 
+    def whole(batch: dict) -> dict:
+        found = [words(t) for t in batch["text"]]
+        return batch | {"n_words": [len(w) for w in found], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w in found]}
+
     def run(batch: dict) -> dict:
-        out = {"doc_id": batch["doc_id"], "n_words": [], "n_removed": [], "kept_sha256": []}
-        for text, spans in zip(batch["text"], batch["_spans"], strict=True):
-            found = words(text)
-            gone = 0
-            if spans:
-                drop = covered(len(found), [(s["first"], s["count"]) for s in spans], window)
-                gone = int(drop.sum())
-                found = [w for w, d in zip(found, drop.tolist(), strict=True) if not d]
-            out["n_words"].append(len(found) + gone)
-            out["n_removed"].append(gone)
-            out["kept_sha256"].append(hashlib.sha256(b" ".join(found)).hexdigest())
-        return out
-
-    rows = repeats(docs.select("doc_id", "text"), window)
-    return mapped(rows.select("doc_id", "text", "_spans"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        batch["n_removed"] = [0] * len(batch["doc_id"])
+        for i, (text, places) in enumerate(zip(batch["text"], batch["_places"], strict=True)):
+            if places:
+                found = words(text)
+                drop = covered(len(found), spans_of(places), window)
+                batch["n_removed"][i] = int(drop.sum())
+                batch["kept_sha256"][i] = hashlib.sha256(b" ".join([w for w, d in zip(found, drop.tolist(), strict=True) if not d])).hexdigest()
+        return batch
+
+    rows = repeats(mapped(docs.select("doc_id", "text"), whole, "doc_id long, text string, n_words long, kept_sha256 string"), window, clean_text=False)
+    return mapped(rows.select("doc_id", "text", "_places", "n_words", "kept_sha256"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(text: str, spans: list[tuple[int, int]], window: int) -> str:
@@ -256,14 +266,14 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     import pyspark.sql.types as T
 
     rows = repeats(docs, window)
-    names = [c for c in docs.columns if c not in ("_uid", "_spans")]
+    names = [c for c in docs.columns if c not in ("_uid", "_places")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.names.index("text")
-            texts = [cut(t, [(s["first"], s["count"]) for s in x], window) if x and t else t for t, x in zip(b.column(at).to_pylist(), b.column(b.schema.names.index("_spans")).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(i) for i, n in enumerate(b.schema.names) if n != "_spans"], names=[n for n in b.schema.names if n != "_spans"])
+            texts = [cut(t, spans_of(x), window) if x and t else t for t, x in zip(b.column(at).to_pylist(), b.column(b.schema.names.index("_places")).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(i) for i, n in enumerate(b.schema.names) if n != "_places"], names=[n for n in b.schema.names if n != "_places"])
 
-    kept = rows.select(*names, "_spans")
-    out = kept.mapInArrow(run, T.StructType([f for f in kept.schema.fields if f.name != "_spans"]))
+    kept = rows.select(*names, "_places")
+    out = kept.mapInArrow(run, T.StructType([f for f in kept.schema.fields if f.name != "_places"]))
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -465,10 +465,10 @@ def test_substrings(spark):
 def test_substring_index_compacts(spark):
     index = substring.FingerprintIndex(spark, 2, fan=2)
     for b in range(5):
-        met = index.add(spark.createDataFrame([(b, 1, 10 * b), (b + 1, 2, 10 * b + 1)], "anchor long, segment long, loc long"))
+        met = index.add(spark.createDataFrame([(b, 1, b, 1), (b + 1, 2, b, 2)], "anchor long, segment long, uid long, place long"))
         assert {r.anchor for r in met.collect()} == ({b} if b else set())
     assert [len(x) for x in index.levels] == [1, 0, 1]
-    assert {(r.anchor, r.segment): r.n for r in index.history().collect()} == {(b + k, 1 + k): 1 for b in range(5) for k in (0, 1)}
+    assert {(r.anchor, r.segment): r.n for run in index.runs() for r in run.collect()} == {(b + k, 1 + k): 1 for b in range(5) for k in (0, 1)}
 
 
 def test_substring_cut_keeps_the_rest(spark):
