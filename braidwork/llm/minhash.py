@@ -1,11 +1,11 @@
 """MinHash near-dedup: banded minima of universal hashes, verification, connected components.
 
 Documents with equal shingle sets are one class, and classes are what is compared. A class's
-minima are hashed in bands; classes that share a band's bucket are candidates. Buckets are
-joined to pivots, not to all pairs: first each class to its bucket's smallest, then, in buckets whose classes
-are not all connected yet, to a pivot drawn by hash, and at last those of different components to
-each other. Candidates must agree in enough of the minima's lowest bits, and then by their
-whole shingle sets. Components come from alternating large-star and small-star steps.
+minima are hashed in bands; classes that share a band's bucket are candidates. First each
+class meets its buckets' smallest. In buckets that this doesn't connect, the classes outside the
+commonest component meet those of other components, in tiles of bounded size. Candidates must agree in
+enough bits of their minima, and then by their whole shingle sets. Components come from
+alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .common import BATCH_ROWS, WordHash, grams, mix, signed, stored, words
 
 #: Minima of a band, bands, and minima of which a bit is kept for the first look (64 a long).
 ROWS, BANDS, BITS = 5, 40, 192
-#: Rounds with drawn pivots before the rest is compared directly.
-DRAWN = 2
+#: Classes of a tile, where classes are compared in blocks.
+TILE = 512
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
@@ -133,6 +133,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _meeting(percent: int, differ: int):  # noqa: ANN202
+    """Of a tile of classes and a tile of those they may be linked to: linked roots (a, b).
+
+    The bits pass over most pairs; the closest of a component is verified first, and one link to it is enough.
+    """
+
+    def unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+        column = column.combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: set[tuple[int, int]] = set()
+        if left.num_rows and right.num_rows:
+            (roots, sizes), (roots2, sizes2) = ([t.column(f"{c}_{k}").to_numpy() for k in ("root", "n")] for c, t in (("u", left), ("m", right)))
+            bits, bits2 = np.stack(unpacked(left.column("u_bits"))), np.stack(unpacked(right.column("m_bits")))
+            sets, sets2 = unpacked(left.column("u_shingles")), unpacked(right.column("m_shingles"))
+            for i, root in enumerate(roots.tolist()):
+                alike = (roots2 != root) & (100 * np.minimum(sizes2, sizes[i]) >= percent * np.maximum(sizes2, sizes[i]))
+                at = np.flatnonzero(alike)
+                apart = np.bitwise_count(bits2[at] ^ bits[i]).sum(1)
+                order = np.argsort(apart, kind="stable")
+                for k in at[order[: np.searchsorted(apart[order], differ, side="right")]].tolist():
+                    pair = (root, int(roots2[k])) if root < roots2[k] else (int(roots2[k]), root)
+                    if pair not in out:
+                        both = len(np.intersect1d(sets[i], sets2[k], assume_unique=True))
+                        if 100 * both >= percent * (sizes[i] + sizes2[k] - both):
+                            out.add(pair)
+        pairs = list(out)
+        return pa.table([pa.array([p[j] for p in pairs], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -184,27 +218,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     first = shared.where((F.col("pivot.node") != F.col("node")) & near("n", "pivot.n")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
     roots = components(stored(linked(first), "links"))
 
-    for turn in range(DRAWN + 1):
-        named = shared.join(roots.withColumnRenamed("root", "_r"), "node", "left").select("band", "node", "n", F.coalesce("_r", "node").alias("root"))
-        if turn < DRAWN:
-            draw = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "n", "root")
-            mixed = named.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max(draw).alias("p")).where("_lo <> _hi").select("band", "p")
-            found = named.join(mixed, "band").where((F.col("root") != F.col("p.root")) & near("n", "p.n"))
-            pairs = found.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        else:
-            mixed = named.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("band")
-            left = stored(named.join(mixed, "band", "left_semi"), "mixed")
-            other = left.select("band", F.col("node").alias("b"), F.col("n").alias("_n"), F.col("root").alias("_r"))
-            pairs = left.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("_r")) & near("n", "_n")).select(F.col("node").alias("a"), "b").distinct()
-        new = stored(linked(pairs), "links")
-        if new.isEmpty():
-            continue
-        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
-        between = new.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-        joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("_to"))
-        old = roots.join(joined, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-        fresh = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("_to").alias("root"))
-        roots = stored(old.unionByName(fresh), "roots")
+    # Buckets whose classes aren't connected yet: those outside the commonest component meet all of other components.
+    named = shared.join(roots.withColumnRenamed("root", "_r"), "node", "left").select("band", "node", F.col("pivot.node").alias("pivot"), F.coalesce("_r", "node").alias("root"))
+    mixed = named.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("band")
+    members = stored(named.join(mixed, "band", "left_semi").select("pivot", "node", "root").distinct(), "members")
+    by_root = members.groupBy("pivot", "root").agg(F.count("*").alias("_n"))
+    lots_of = by_root.groupBy("pivot").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "root")).alias("_top"))
+    plan = lots_of.select("pivot", F.col("_top.root").alias("_common"), F.ceil(F.col("_all") / TILE).alias("_m"), F.ceil((F.col("_all") - F.col("_top._n")) / TILE).alias("_u"))
+    rows_ = members.join(plan, "pivot").join(sets, "node")
+
+    def tile(c: str, of: str):  # noqa: ANN202
+        return F.pmod(F.xxhash64(c), F.col(of))
+
+    def copies(of: str):  # noqa: ANN202
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+    held = ("node", "root", "n", "bits", "shingles")
+    odd = rows_.where("root <> _common").select(*(F.col(c).alias(f"u_{c}") for c in ("pivot", *held)), tile("node", "_u").alias("u_u"), copies("_m").alias("u_m"))
+    every = rows_.select(*(F.col(c).alias(f"m_{c}") for c in ("pivot", *held)), tile("node", "_m").alias("m_m"), copies("_u").alias("m_u"))
+    found = odd.groupBy("u_pivot", "u_u", "u_m").cogroup(every.groupBy("m_pivot", "m_u", "m_m")).applyInArrow(_meeting(percent, differ), "a long, b long")
+    # Links between roots are all that matters now.
+    joined = components(stored(found, "links")).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    old = roots.join(joined, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    fresh = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("_to").alias("root"))
+    roots = stored(old.unionByName(fresh), "roots")
 
     by_class = classes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("_root"))
     out = signs.select("doc_id", "k1", "k2", "n_shingles").join(by_class, ["k1", "k2"], "left")
