@@ -95,14 +95,31 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _commonest(counted: DataFrame, most: int) -> pa.Table:
+    """word, n of at most `most` words: all from the least count, on a scale of 64 steps for each doubling, that leaves no more."""
+    step = F.floor(64 * F.log2(F.col("n").cast("double")) + 1e-9)
+    sizes = sorted(((r.k, r.c) for r in counted.groupBy(step.alias("k")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    least, held = None, 0
+    for k, c in sizes:
+        held += c
+        if held > most:
+            break
+        least = k
+    return counted.where(step >= least if least is not None else F.lit(False)).select("word", "n").toArrow()
+
+
 class Head:
     """The commonest words: class and count by word. What is left out of the classes has the class 0."""
 
-    def __init__(self, rows: list, classes: int) -> None:
-        self.index = {bytes(r.word): i for i, r in enumerate(rows)}
-        self.count = np.array([r.n for r in rows], dtype=np.int64)
-        self.classes = min(classes, len(rows) + 1)
-        self.class_of = np.zeros(len(rows), np.int64)
+    def __init__(self, table: pa.Table, classes: int) -> None:
+        """table: word, n, in any order."""
+        count = table.column("n").to_numpy()
+        found = table.column("word").to_pylist()
+        order = sorted(range(len(found)), key=lambda i: (-count[i], found[i]))
+        self.index = {found[i]: k for k, i in enumerate(order)}
+        self.count = count[np.array(order, dtype=np.int64)]
+        self.classes = min(classes, len(order) + 1)
+        self.class_of = np.zeros(len(order), np.int64)
         self.class_of[: self.classes - 1] = np.arange(1, self.classes)
 
     def places(self, found: list[bytes]) -> np.ndarray:
@@ -156,7 +173,7 @@ def scores(docs: DataFrame, held_out_fold: int = 1, classes: int = CLASSES, head
     counted = stored(_counts(train), "words")
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, types = sums.n, sums.v
-    head = Head(counted.orderBy(F.desc("n"), "word").limit(head_words).collect(), classes)
+    head = Head(_commonest(counted, head_words), classes)
     pairs = _pairs(train, head)
     end = int(head.class_ids(head.places([END]))[0])
     table = LogBilinear(pairs).log10 if total else np.zeros((1, 1), np.float32)
