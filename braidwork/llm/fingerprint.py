@@ -160,11 +160,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cuts = [] if deals == 1 else sorted(set(rows.select(F.percentile_approx("doc_id", [i / deals for i in range(1, deals)], 20 * deals).alias("c")).first().c or []))
     # The cuts are values, so a recomputed task deals the rows as before.
     deal = F.lit(0)
-    if cuts:
-        at = F.lit(0)
-        for step in _halves(len(cuts)):
-            at = F.when((at + step <= len(cuts)) & (F.coalesce(F.get(F.lit(cuts), at + step - 1), F.lit(2**63 - 1)) <= F.col("doc_id")), at + step).otherwise(at)
-            at = at.cast("int")
+    if cuts:  # how many cuts aren't over the id, by halving
+        fits = lambda at, step: (at + step <= len(cuts)) & (F.get(F.lit(cuts), at + step - 1) <= F.col("doc_id"))
+        at = F.aggregate(F.lit(_halves(len(cuts))), F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
         deal = F.when(F.col("doc_id").isNull(), 0).otherwise(at)
     dealt = rows.select(deal.alias("deal"), "doc_id", "text")
     inner = dealt.repartition(max(partitions(spark), 1), "deal").sortWithinPartitions("deal", "doc_id", "text").mapInArrow(_neighbours, SCHEMA)
