@@ -11,14 +11,25 @@ from .common import fold
 EACH, LONGEST = 1400, 20_000
 
 
+def known_labels(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id, label of what a classifier may learn from: folds but 0, the largest label of a document."""
+    known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
+    return known.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def share(labels: DataFrame, column: str) -> float:
+    """The share of label 1 among all known labels, slightly smoothed."""
+    r = known_labels(labels, column).agg(F.coalesce(F.sum("label"), F.lit(0)).alias("y"), F.count("*").alias("n")).first()
+    return (r.y + 0.5) / (r.n + 1)
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str, each: int = EACH, longest: int = LONGEST) -> tuple[list[str], list[int]]:
     """Texts and labels of up to `each` rows of either class, whose fold isn't 0, in order of a hash of doc_id.
 
     Null labels, ids and texts are left out, as are texts over `longest` code points; a
     document with several labels takes the largest. The ids sent out number 2 * each.
     """
-    known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
-    known = known.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known_labels(labels, column)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [known.where(F.col("label") == c).orderBy(*order).limit(each) for c in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])

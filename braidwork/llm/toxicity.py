@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, mapped
-from .labelled import sample
+from .labelled import sample, share
 
 TOKEN = re.compile(r"\w+")
 #: A feature marks tokens toxic if so many toxic documents hold it (at least, and as a share), and no more than CLEAN_SHARE as many clean ones.
@@ -163,9 +163,11 @@ def marking(docs: list[list[str]], labels: list[int]) -> set[str]:
     return {f for f, n in count[1].items() if n >= max(LEAST, LEAST_SHARE * toxic) and count[0][f] * toxic <= CLEAN_SHARE * n * max(clean, 1)}
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.4, decay: float = 1e-6) -> Field:
+def fit(texts: list[str], labels: list[int], prior: float = 0.5, rounds: int = 60, rate: float = 0.4, decay: float = 1e-6) -> Field:
     """Ascend the chain's conditional log-likelihood (Adagrad, whole batches), then fit the curve.
 
+    prior: the share of toxic documents where scores will be made, as both classes weigh the same here.
+
     Without documents of both classes all scores are 0.5.
     """
     out = Field()
@@ -226,6 +228,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.4
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
         h = (x * (share * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
         curve += np.linalg.solve(h, x.T @ (share * (z - p)) - 0.05 * curve)
+    curve[0] += np.log(prior / (1 - prior))
     out.curve = curve
     return out
 
@@ -239,7 +242,7 @@ def tag(docs: DataFrame, labels: DataFrame, **how: object) -> DataFrame:
     gives. Repeated rows score alike; without labels of both classes all score 0.5; an empty
     table gives an empty result.
     """
-    field = fit(*sample(docs, labels, "toxic", **how))
+    field = fit(*sample(docs, labels, "toxic", **how), prior=share(labels, "toxic"))
 
     def run(batch: dict) -> dict:
         texts = [t or "" for t in batch["text"]]
@@ -257,7 +260,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with a column toxic_score (one of that name is replaced); see tag()."""
     from .quality import with_scores
 
-    field = fit(*sample(docs, labels, "toxic"))
+    field = fit(*sample(docs, labels, "toxic"), prior=share(labels, "toxic"))
 
     class Scores:
         @staticmethod
