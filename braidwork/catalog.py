@@ -1,9 +1,475 @@
-"""The registered queries."""
+"""The registered queries of the rewriting engine, and the same in DuckDB's SQL.
 
+States are the orders of the star schema (see sources.tables); SQL for matching is written
+out from a rule as a self-join, independently of the matcher.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from braidwork.functions import compatible, contents, renumbered, signature, text
+from braidwork.operators import canonical, match, relations
+from braidwork.plans.evolve import Evolution, Options, evolve
+from braidwork.rules import Rule, rule, rules
+from braidwork.sources import generators, tables
+from braidwork.streaming import Session
+
+PATH2 = rule([("x", "y"), ("y", "z")], [("x", "z")])
+CAPPED = 500
+#: Patterns by query, with the family of states they run on.
+PATTERNS: dict[str, tuple[str, Rule]] = {
+    "match_single": ("F2", rule([("x", "y")], [])),
+    "match_loop": ("F2", rule([("x", "x")], [])),
+    "match_path2": ("F2", PATH2),
+    "match_fork2": ("F2", rule([("x", "y"), ("x", "z")], [])),
+    "match_path3": ("F2", rule([("x", "y"), ("y", "z"), ("z", "w")], [])),
+    "match_triangle": ("F2", rule([("x", "y"), ("y", "z"), ("z", "x")], [])),
+    "match_cycle4": ("F2", rule([("x", "y"), ("y", "z"), ("z", "w"), ("w", "x")], [])),
+    "match_disconnected": ("F2", rule([("x", "x"), ("y", "y")], [])),
+    "match_ternary": ("F3", rule([("x", "y", "z"), ("z", "y", "w")], [])),
+    "match_repeated_var": ("F3", rule([("x", "y", "x"), ("y", "x", "z")], [])),
+    "match_mixed_arity": ("FM", rule([("x", "y"), ("x", "y", "z")], [])),
+    "match_unary": ("F1", rule([("x",), ("x",)], [])),
+}
+SQL_VERTS = {
+    "F1": "[l_suppkey % 5]",
+    "F2": "[l_partkey % 5, l_suppkey % 5]",
+    "F2S": "[l_partkey % 3, l_suppkey % 3]",
+    "F3": "[l_partkey % 4, l_suppkey % 4, l_linenumber % 4]",
+    "FM": "CASE WHEN l_linenumber % 2 = 1 THEN [l_partkey % 5, l_suppkey % 5] ELSE [l_partkey % 4, l_suppkey % 4, l_linenumber % 4] END",
+}
+
+
+def sql_edges(family: str) -> str:
+    where = " WHERE l_returnflag = 'R'" if family == "F1" else ""
+    return f"""e AS (SELECT l_orderkey AS state_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS edge_id,
+  {SQL_VERTS[family]} AS verts FROM lineitem{where})"""
+
+
+def sql_match(r: Rule) -> str:
+    """A self-join: FROM and WHERE of all matches of a rule in e."""
+    seen: dict[int, str] = {}
+    conditions = []
+    for i, pattern in enumerate(r.lhs):
+        conditions.append(f"len(e{i}.verts) = {len(pattern)}")
+        for k, v in enumerate(pattern):
+            at = f"e{i}.verts[{k + 1}]"
+            if v in seen:
+                conditions.append(f"{at} = {seen[v]}")
+            seen.setdefault(v, at)
+        conditions += [f"e{i}.edge_id <> e{j}.edge_id" for j in range(i)]
+        if i:
+            conditions.append(f"e{i}.state_id = e0.state_id")
+    return "FROM " + ", ".join(f"e e{i}" for i in range(len(r.lhs))) + " WHERE " + " AND ".join(conditions)
+
+
+def sql_text(list_of_lists: str) -> str:
+    return f"array_to_string(list_transform({list_of_lists}, e -> array_to_string(e, ',')), ';')"
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- states and edges ------------------------------------------------------------------
+
+
+@query(f"WITH {sql_edges('FM')} SELECT state_id, count(*) AS n_edges, string_agg(array_to_string(verts, ','), ';' ORDER BY edge_id) AS edges FROM e GROUP BY state_id")
+def ingest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.states(spark, sf_dir, "FM").select("state_id", F.size("edges").cast("long").alias("n_edges"), text(contents(F.col("edges"))).alias("edges"))
+
+
+@query(
+    f"""WITH {sql_edges('F2')}, p AS (SELECT state_id, edge_id, k, verts[k] AS v FROM e, (SELECT unnest([1, 2]) AS k)),
+first AS (SELECT state_id, v, min(edge_id * 10 + k) AS f FROM p GROUP BY ALL),
+named AS (SELECT state_id, v, row_number() OVER (PARTITION BY state_id ORDER BY f) - 1 AS name FROM first),
+one AS (SELECT p.state_id, edge_id, string_agg(name::VARCHAR, ',' ORDER BY k) AS t FROM p JOIN named USING (state_id, v) GROUP BY ALL)
+SELECT state_id, string_agg(t, ';' ORDER BY edge_id) AS edges FROM one GROUP BY state_id"""
+)
+def renumber_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.states(spark, sf_dir).select("state_id", text(renumbered(contents(F.col("edges")))).alias("edges"))
+
+
+@query(
+    f"""WITH {sql_edges('F3')}, s AS (SELECT state_id, edge_id, verts, CASE WHEN verts[2] = verts[1] THEN 0 ELSE 1 END AS b FROM e)
+SELECT state_id, edge_id, '0,' || b || ',' || CASE WHEN verts[3] = verts[1] THEN 0 WHEN verts[3] = verts[2] THEN b ELSE b + 1 END AS signature FROM s"""
+)
+def edge_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.edges(spark, sf_dir, "F3").select("state_id", "edge_id", F.array_join(signature(F.col("verts")).cast("array<string>"), ",").alias("signature"))
+
+
+@query(f"WITH {sql_edges('F3')} SELECT state_id, edge_id FROM e WHERE verts[1] = verts[2]")
+def compatible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.edges(spark, sf_dir, "F3").where(compatible(F.col("verts"), [0, 0, 1])).select("state_id", "edge_id")
+
+
+@query(
+    f"""WITH {sql_edges('FM')}, p AS (SELECT state_id, verts[k] AS vertex, len(verts) || ':' || (k - 1) AS place FROM e, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= len(verts))
+SELECT state_id, vertex, string_agg(place, ' ' ORDER BY place) AS signature FROM p GROUP BY ALL"""
+)
+def degree_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = tables.edges(spark, sf_dir, "FM").select("state_id", F.size("verts").alias("n"), F.posexplode("verts").alias("k", "vertex"))
+    return at.groupBy("state_id", "vertex").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "n", "k"))), " ").alias("signature"))
+
+
+# -- matching ----------------------------------------------------------------------------
+
+
+def _pattern_query(name: str) -> None:
+    family, r = PATTERNS[name]
+    n = len(r.lhs)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = match.nested(tables.states(spark, sf_dir, family), r, ["state_id"])
+        return m.select("state_id", *(F.col(f"_e{i}")["edge_id"].alias(f"e{i}") for i in range(n)))
+
+    run.__name__ = name
+    query(f"WITH {sql_edges(family)} SELECT e0.state_id, " + ", ".join(f"e{i}.edge_id AS e{i}" for i in range(n)) + f" {sql_match(r)}")(run)
+
+
+for _name in PATTERNS:
+    _pattern_query(_name)
+
+
+@query(f"WITH {sql_edges('F2')} SELECT e0.state_id, e0.edge_id AS e0, e1.edge_id AS e1 {sql_match(PATH2)}")
+def match_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.exploded(tables.edges(spark, sf_dir), PATH2)
+
+
+_COUNTED = ["match_loop", "match_path2", "match_fork2"]
+
+
+@query(f"WITH {sql_edges('F2')} " + " UNION ALL ".join(f"SELECT {i} AS rule, count(*) AS matches {sql_match(PATTERNS[n][1])}" for i, n in enumerate(_COUNTED)))
+def match_counts_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.matches(tables.states(spark, sf_dir), [PATTERNS[n][1] for n in _COUNTED])
+    return found.groupBy("rule").agg(F.count("*").alias("matches"))
+
+
+@query(f"WITH {sql_edges('F2')} SELECT DISTINCT e0.state_id {sql_match(PATTERNS['match_triangle'][1])}")
+def states_with_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.matches(tables.states(spark, sf_dir), [PATTERNS["match_triangle"][1]]).select("state_id").distinct()
+
+
+@query(f"WITH {sql_edges('F2')} SELECT DISTINCT state_id FROM e EXCEPT SELECT e0.state_id {sql_match(PATH2)}")
+def states_without_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = tables.states(spark, sf_dir)
+    return states.select("state_id").join(match.matches(states, [PATH2]).select("state_id"), "state_id", "left_anti")
+
+
+@query(
+    f"""WITH {sql_edges('F2')}, n AS (SELECT state_id, count(*) AS n FROM e GROUP BY state_id), m AS (SELECT e0.state_id, e0.edge_id AS a, e1.edge_id AS b {sql_match(PATH2)})
+SELECT state_id, a || ',' || b AS matched FROM m JOIN n USING (state_id) WHERE a > n - 2 OR b > n - 2"""
+)
+def match_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with one of a state's last two edges."""
+    last = F.transform(F.slice("edges", F.greatest(F.size("edges") - 1, F.lit(1)), 2), lambda e: e["edge_id"])
+    found = match.delta_matches(tables.states(spark, sf_dir).withColumn("produced", last), PATH2)
+    return found.select("state_id", F.array_join(F.col("matched").cast("array<string>"), ",").alias("matched"))
+
+
+@query(f"WITH {sql_edges('F2')} SELECT e0.state_id, e0.edge_id || ',' || e1.edge_id AS matched {sql_match(PATH2)} AND e0.edge_id <> 1 AND e1.edge_id <> 1")
+def match_forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches that a child without its parent's first edge inherits."""
+    states = tables.states(spark, sf_dir)
+    children = states.select("state_id", F.col("state_id").alias("parent_state"), F.array(F.lit(1).cast("long")).alias("consumed"))
+    found = match.forwarded(match.matches(states, [PATH2]), children)
+    return found.select("state_id", F.array_join(F.col("matched").cast("array<string>"), ",").alias("matched"))
+
+
+# -- evolution ---------------------------------------------------------------------------
+
+#: Two steps of {{x,y},{y,z}} -> {{x,z}} from every order. Edges: id, ends, the event that made them.
+SQL_EVOLVE = f"""WITH {sql_edges('F2')},
+s0 AS (SELECT state_id, edge_id AS id, verts[1] AS x, verts[2] AS y, NULL::BIGINT AS creator FROM e),
+top AS (SELECT max(state_id) + 1 AS n FROM e),
+m1 AS (SELECT row_number() OVER (ORDER BY a.state_id, a.id, b.id) - 1 AS event_id, a.state_id AS input_state, a.id AS ca, b.id AS cb, a.x, b.y, a.creator AS pa, b.creator AS pb
+  FROM s0 a JOIN s0 b ON a.state_id = b.state_id AND a.id <> b.id AND a.y = b.x),
+n1 AS (SELECT count(*) AS n FROM m1),
+s1 AS (SELECT m.event_id + t.n AS state_id, s.id, s.x, s.y, s.creator FROM m1 m JOIN s0 s ON s.state_id = m.input_state AND s.id NOT IN (m.ca, m.cb), top t
+  UNION ALL SELECT event_id + t.n, 1000000 + event_id, x, y, event_id FROM m1, top t),
+m2 AS (SELECT row_number() OVER (ORDER BY a.state_id, a.id, b.id) - 1 + n1.n AS event_id, a.state_id AS input_state, a.id AS ca, b.id AS cb, a.x, b.y, a.creator AS pa, b.creator AS pb
+  FROM s1 a JOIN s1 b ON a.state_id = b.state_id AND a.id <> b.id AND a.y = b.x, n1),
+ev AS (SELECT *, 1 AS step FROM m1 UNION ALL SELECT *, 2 AS step FROM m2),
+s2 AS (SELECT m.event_id + t.n AS state_id, s.id, s.x, s.y, s.creator FROM m2 m JOIN s1 s ON s.state_id = m.input_state AND s.id NOT IN (m.ca, m.cb), top t
+  UNION ALL SELECT event_id + t.n, 1000000000 + event_id, x, y, event_id FROM m2, top t),
+st AS (SELECT *, 0 AS step FROM s0 UNION ALL SELECT *, 1 FROM s1 UNION ALL SELECT *, 2 FROM s2),
+branchial AS (SELECT DISTINCT a.event_id AS event1, b.event_id AS event2 FROM (SELECT event_id, input_state, unnest([ca, cb]) AS c FROM ev) a
+  JOIN (SELECT event_id, input_state, unnest([ca, cb]) AS c FROM ev) b ON a.input_state = b.input_state AND a.c = b.c AND a.event_id < b.event_id),
+causal AS (SELECT DISTINCT unnest([pa, pb]) AS producer, event_id AS consumer FROM ev)
+"""
+
+
+def _two_steps(spark: SparkSession, sf_dir: str) -> Evolution:
+    return evolve(spark, [PATH2], tables.roots(spark, sf_dir), 2)
+
+
+@query(SQL_EVOLVE + "SELECT event_id, step, input_state, event_id + n AS output_state FROM ev, top")
+def evolve_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).events.select("event_id", "step", "input_state", "output_state")
+
+
+@query(SQL_EVOLVE + "SELECT state_id, step, string_agg(x || ',' || y, ';' ORDER BY id) AS edges FROM st GROUP BY ALL")
+def evolve_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).states.select("state_id", "step", text(contents(F.col("edges"))).alias("edges"))
+
+
+@query(SQL_EVOLVE + ", c AS (SELECT state_id, string_agg(x || ',' || y, ';' ORDER BY id) AS t FROM st GROUP BY ALL) SELECT state_id, min(state_id) OVER (PARTITION BY t) AS canonical_id FROM c")
+def content_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).canonical_ids("Automatic")
+
+
+@query(SQL_EVOLVE + "SELECT producer, consumer FROM causal WHERE producer IS NOT NULL")
+def causal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.causal_pairs(_two_steps(spark, sf_dir).causal(reduce=False))
+
+
+@query(SQL_EVOLVE + "SELECT event1, event2 FROM branchial")
+def branchial_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).branchial().select("event1", "event2")
+
+
+@query(SQL_EVOLVE + "SELECT event1, event2 FROM branchial JOIN ev ON event1 = ev.event_id WHERE ev.step = 2")
+def branchial_final_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).branchial(-1).select("event1", "event2")
+
+
+@query(SQL_EVOLVE + "SELECT a.event_id + n AS state1, b.event_id + n AS state2 FROM m1 a JOIN m1 b ON a.input_state = b.input_state AND a.event_id < b.event_id, top")
+def sibling_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.siblings(evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1).events)
+
+
+@query(SQL_EVOLVE + "SELECT input_state, count(*) AS edges, max(k) AS most FROM (SELECT input_state, c, count(*) AS k FROM (SELECT input_state, unnest([ca, cb]) AS c FROM ev) GROUP BY ALL) GROUP BY input_state")
+def branchial_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cliques = relations.branchial_cliques(_two_steps(spark, sf_dir).consumed)
+    return cliques.groupBy("input_state").agg(F.count("*").alias("edges"), F.max("events").alias("most"))
+
+
+@query(SQL_EVOLVE + "SELECT 'S' AS src_kind, input_state AS src, 'S' AS dst_kind, event_id + n AS dst, 'Directed' AS type FROM ev, top")
+def states_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).graph("StatesGraph")
+
+
+@query(
+    SQL_EVOLVE
+    + """SELECT DISTINCT 'S' AS src_kind, input_state AS src, 'E' AS dst_kind, event_id AS dst, 'StateEvent' AS type FROM ev
+UNION ALL SELECT 'E', event_id, 'S', event_id + n, 'EventState' FROM ev, top
+UNION ALL SELECT 'E', producer, 'E', consumer, 'Causal' FROM causal WHERE producer IS NOT NULL
+UNION ALL SELECT 'E', event1, 'E', event2, 'Branchial' FROM branchial"""
+)
+def evolution_causal_branchial_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).graph("EvolutionCausalBranchialGraph")
+
+
+@query(SQL_EVOLVE + ", k AS (SELECT step, count(DISTINCT state_id) AS n FROM (SELECT state_id, 0 AS step FROM s0 UNION ALL SELECT event_id, step FROM ev) GROUP BY step) SELECT step, sum(n) OVER (ORDER BY step)::BIGINT AS states, (sum(n) OVER (ORDER BY step) - (SELECT n FROM k WHERE step = 0))::BIGINT AS events FROM k")
+def per_step_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).per_step()
+
+
+@query(SQL_EVOLVE + "SELECT event_id, step, input_state, event_id + n AS output_state FROM ev, top")
+def session_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session that is stepped twice has the events of one run of two steps."""
+    with Session(spark, [PATH2], tables.roots(spark, sf_dir)) as s:
+        return s.step().step().evolution.events.select("event_id", "step", "input_state", "output_state")
+
+
+@query(SQL_EVOLVE + "SELECT 'S' AS src_kind, input_state AS src, 'S' AS dst_kind, event_id + n AS dst, 'Directed' AS type FROM m2, top")
+def session_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second step adds to the states graph."""
+    s = Session(spark, [PATH2], tables.roots(spark, sf_dir)).step()
+    s.delta("StatesGraph")
+    return s.step().delta("StatesGraph")
+
+
+@query(SQL_EVOLVE + "SELECT event_id + n AS state_id, 2 AS step FROM m2, top")
+def session_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Session(spark, [PATH2], tables.roots(spark, sf_dir)).step(2).frontier()
+
+
+@query(SQL_EVOLVE + "SELECT input_state, k FROM (SELECT input_state, row_number() OVER (PARTITION BY input_state ORDER BY ca, cb) AS k FROM m1) WHERE k <= 2")
+def cap_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1, max_successors=2).events
+    return e.select("input_state", F.row_number().over(Window.partitionBy("input_state").orderBy("event_id")).alias("k"))
+
+
+@query(SQL_EVOLVE + f"SELECT event_id, input_state FROM m1 WHERE event_id < {CAPPED}")
+def cap_states_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1, max_states_per_step=CAPPED).events.select("event_id", "input_state")
+
+
+@query(SQL_EVOLVE + "SELECT event_id, input_state FROM m1")
+def rule_weight_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second rule of weight 0 never applies."""
+    both = [PATH2, rule([("x", "y")], [("y", "x")])]
+    return evolve(spark, both, tables.roots(spark, sf_dir), 1, rule_weights=(1.0, 0.0)).events.select("event_id", "input_state")
+
+
+@query()
+def sampled_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the transitions, by a hash of the seed, and at least one of each state that has any."""
+    return evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1, transition_rate=0.5, seed=12345).events.select("event_id", "input_state")
+
+
+@query(
+    f"""WITH {sql_edges('F2')}, m AS (SELECT e0.state_id, e0.edge_id AS a, e1.edge_id AS b {sql_match(PATH2)})
+SELECT m.state_id AS input_state, count(*) AS survivors FROM m JOIN e ON e.state_id = m.state_id AND e.edge_id NOT IN (a, b) GROUP BY m.state_id"""
+)
+def emptying_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule without a right side: what is left of the states."""
+    e = evolve(spark, [rule(PATH2.lhs, [])], tables.roots(spark, sf_dir), 1)
+    left = e.states.where("step = 1").select(F.col("state_id").alias("output_state"), F.size("edges").alias("n"))
+    sums = e.events.join(left, "output_state").groupBy("input_state").agg(F.sum("n").alias("survivors"))
+    return sums.where("survivors > 0")
+
+
+# -- identity ----------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {sql_edges('F2S')}, p(a, b, c) AS (VALUES (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)),
+named AS (SELECT state_id, a, b, [a, b, c][verts[1] + 1] || ',' || [a, b, c][verts[2] + 1] AS t FROM e, p),
+forms AS (SELECT state_id, a, b, string_agg(t, ';' ORDER BY t) AS f FROM named GROUP BY ALL),
+least AS (SELECT state_id, min(f) AS f FROM forms GROUP BY state_id)
+SELECT state_id, min(state_id) OVER (PARTITION BY f) AS canonical_id FROM least"""
+)
+def canonical_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest isomorphic state of each state."""
+    formed = canonical.with_form(tables.states(spark, sf_dir, "F2S")).select("state_id", "form")
+    least = formed.groupBy("form").agg(F.min("state_id").alias("canonical_id"))
+    return formed.join(least, "form").select("state_id", "canonical_id")
+
+
+@query()
+def quotient_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes by depth, each expanded once, from every small order."""
+    e = Evolution(spark, rules([PATH2]), Options(), quotient=True).start(tables.roots(spark, sf_dir, "F2S")).step(3)
+    return e.class_rows.groupBy("depth").agg(F.count("*").alias("classes"))
+
+
+@query()
+def raw_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw states by depth from the classes' transitions, without making them."""
+    return Evolution(spark, rules([PATH2]), Options(), quotient=True).start([[0, 1], [1, 2], [2, 3], [3, 0], [0, 2]]).step(4).raw_counts()
+
+
+# -- relations ---------------------------------------------------------------------------
+
+_DAG = "d AS (SELECT DISTINCT l_suppkey % 40 AS src, l_suppkey % 40 + 1 + l_partkey % 7 AS dst FROM lineitem)"
+_REACH = f"WITH RECURSIVE {_DAG}, r AS (SELECT src, dst FROM d UNION SELECT r.src, d.dst FROM r JOIN d ON r.dst = d.src)"
+
+
+def _dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = F.col("l_suppkey") % 40
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(src.alias("src"), (src + 1 + F.col("l_partkey") % 7).alias("dst")).distinct()
+
+
+@query(f"{_REACH} SELECT src, dst FROM r")
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.reachability(_dag(spark, sf_dir))
+
+
+@query(f"{_REACH} SELECT src, dst FROM d WHERE NOT EXISTS (SELECT 1 FROM d d2 JOIN r ON d2.dst = r.src WHERE d2.src = d.src AND r.dst = d.dst)")
+def transitive_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.reduced(_dag(spark, sf_dir))
+
+
+# -- initial conditions ------------------------------------------------------------------
+
+_CELLS = "c AS (SELECT i, j, (i - 1) * {h} + j AS v FROM generate_series(1, {w}) a(i), generate_series(1, {h}) b(j))"
+
+
+@query(f"WITH {_CELLS.format(w=40, h=30)} SELECT v AS src, v + 30 AS dst FROM c WHERE i < 40 UNION ALL SELECT v, v + 1 FROM c WHERE j < 30")
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.grid(spark, 40, 30)
+
+
+@query(f"WITH {_CELLS.format(w=20, h=10)} SELECT v AS src, v + 10 AS dst FROM c WHERE i < 20 UNION ALL SELECT v, v + 1 FROM c WHERE j < 10 UNION ALL SELECT v, v + 11 FROM c WHERE i < 20 AND j < 10 UNION ALL SELECT v, v + 9 FROM c WHERE i < 20 AND j > 1")
+def grid_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.grid(spark, 20, 10, diagonals=True)
+
+
+@query(
+    f"""WITH {_CELLS.format(w=30, h=20)}, k AS (SELECT i, j, v, row_number() OVER (ORDER BY i, j) AS name FROM c WHERE (i - 10) ** 2 + (j - 10) ** 2 >= 9),
+l AS (SELECT a.name AS src, b.name AS dst, (a.i + b.i) / 2.0 AS x, (a.j + b.j) / 2.0 AS y FROM k a JOIN k b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1))
+SELECT src, dst FROM l WHERE (x - 10) ** 2 + (y - 10) ** 2 >= 9"""
+)
+def grid_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.grid_with_holes(spark, 30, 20, [(10, 10, 3)])
+
+
+@query(f"WITH {_CELLS.format(w=24, h=9)} SELECT v AS src, (i % 24) * 9 + j AS dst FROM c UNION ALL SELECT v, v + 1 FROM c WHERE j < 9")
+def cylinder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.cylinder(spark, 24, 9)
+
+
+@query(f"WITH {_CELLS.format(w=17, h=17)} SELECT v AS src, (i % 17) * 17 + j AS dst FROM c UNION ALL SELECT v, (i - 1) * 17 + j % 17 + 1 FROM c")
+def torus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.torus(spark, 17)
+
+
+@query(f"WITH {_CELLS.format(w=15, h=8)} SELECT v AS src, CASE WHEN i < 15 THEN v + 8 ELSE 8 - j + 1 END AS dst FROM c UNION ALL SELECT v, v + 1 FROM c WHERE j < 8")
+def klein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.klein_bottle(spark, 15, 8)
+
+
+@query(f"WITH {_CELLS.format(w=21, h=5)} SELECT v AS src, CASE WHEN i < 21 THEN v + 5 ELSE 5 - j + 1 END AS dst FROM c UNION ALL SELECT v, v + 1 FROM c WHERE j < 5")
+def moebius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.moebius_strip(spark, 21)
+
+
+@query()
+def sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.sphere(spark, 12)
+
+
+_POINTS = "p AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101)::DOUBLE AS x, (s_suppkey * 53 % 97)::DOUBLE AS y FROM supplier)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("id"), (k * 37 % 101).cast("double").alias("x"), (k * 53 % 97).cast("double").alias("y"))
+
+
+@query(f"WITH {_POINTS} SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON a.id < b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 100")
+def distance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.near_pairs(_points(spark, sf_dir), 10.0)
+
+
+_CONE = f"{_POINTS}, c AS (SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON b.y > a.y AND (b.y - a.y) ** 2 > (b.x - a.x) ** 2 AND (b.y - a.y) ** 2 - (b.x - a.x) ** 2 <= 400)"
+
+
+@query(f"WITH {_CONE} SELECT src, dst FROM c")
+def lightcone_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.light_cone(_points(spark, sf_dir).withColumnRenamed("y", "t"), cutoff=20.0)
+
+
+@query(f"WITH {_CONE} SELECT src, dst FROM c WHERE NOT EXISTS (SELECT 1 FROM c a JOIN c b ON a.dst = b.src WHERE a.src = c.src AND b.dst = c.dst)")
+def lightcone_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.without_shortcuts(generators.light_cone(_points(spark, sf_dir).withColumnRenamed("y", "t"), cutoff=20.0))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw states and events by step of a two-step evolution of every order."""
+    return per_step_cumulative(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -1 +1,49 @@
-"""functions"""
+"""Column functions on edges: arrays of vertices, and arrays of structs with verts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: An edge of a state: its id, ordered vertices, the event that made it (null: initial) and that event's depth.
+EDGE = "struct<edge_id:bigint,verts:array<bigint>,creator:bigint,cdepth:int>"
+
+
+def signature(verts: Column) -> Column:
+    """Repetition pattern of an edge: (a, b, a) gives (0, 1, 0)."""
+    return F.transform(verts, lambda v: (F.array_position(F.array_distinct(verts), v) - 1).cast("int"))
+
+
+def distinct_vertices(verts: Column) -> Column:
+    return F.size(F.array_distinct(verts))
+
+
+def compatible(verts: Column, pattern: list[int]) -> Column:
+    """Whether an edge can match a pattern edge by itself: equal arity, and equal vertices where the pattern repeats."""
+    out = F.size(verts) == len(pattern)
+    for i, v in enumerate(pattern):
+        if (j := pattern.index(v)) != i:
+            out = out & (F.get(verts, F.lit(j)) == F.get(verts, F.lit(i)))
+    return out
+
+
+def contents(edges: Column) -> Column:
+    """Ordered content of a state: its edges' vertices in order of their ids."""
+    return F.transform(edges, lambda e: e["verts"])
+
+
+def renumbered(edges: Column) -> Column:
+    """Edges (arrays of vertices) with vertices numbered 0.. in order of first appearance."""
+    names = F.array_distinct(F.flatten(edges))
+    return F.transform(edges, lambda e: F.transform(e, lambda v: F.array_position(names, v) - 1))
+
+
+def text(edges: Column) -> Column:
+    """Edges (arrays of vertices) as text: vertices parted by commas, edges by semicolons."""
+    return F.array_join(F.transform(edges, lambda e: F.array_join(F.transform(e, lambda v: v.cast("string")), ",")), ";")
+
+
+def uniform(seed: int, *key: Column) -> Column:
+    """A number in [0, 1) that depends on the key and the seed alone."""
+    h = F.xxhash64(F.lit(seed), *key)
+    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)

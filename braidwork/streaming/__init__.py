@@ -1 +1,63 @@
-"""streaming"""
+"""Sessions: an evolution that is opened, stepped, steered and read in deltas; and matching on streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidwork import rules as R
+from braidwork.operators.match import matches
+from braidwork.operators.relations import checkpointed
+from braidwork.plans.evolve import Evolution, Options
+
+
+class Session:
+    """Rules and options are fixed when it is opened; stepping gives what one run to the same depth gives."""
+
+    def __init__(self, spark: SparkSession, rules: object, init: object, quotient: bool = False, **options: object) -> None:
+        self.evolution = Evolution(spark, R.rules(rules), Options(**options), quotient).start(init)
+        self.sent: dict[str, DataFrame] = {}
+        self.open = True
+
+    def __enter__(self) -> Session:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def _live(self) -> Evolution:
+        if not self.open:
+            raise ValueError("the session is closed")
+        return self.evolution
+
+    def step(self, n: int = 1, only: list[int] | None = None) -> Session:
+        self._live().step(n, only)
+        return self
+
+    def frontier(self) -> DataFrame:
+        return self._live().frontier()
+
+    def query(self, kind: str) -> DataFrame:
+        """All edges of a graph, without exploring."""
+        return self._live().graph(kind)
+
+    def delta(self, kind: str) -> DataFrame:
+        """Edges of a graph that no earlier delta of it held; the first holds all."""
+        rows = checkpointed(self.query(kind).distinct())
+        before = self.sent.get(kind)
+        new = rows if before is None else rows.join(before, rows.columns, "left_anti")
+        self.sent[kind] = rows
+        return new
+
+    def close(self) -> None:
+        self.open = False
+
+
+def merged(earlier: DataFrame, delta: DataFrame) -> DataFrame:
+    """What a reader holds after a delta: earlier edges and new ones."""
+    return earlier.unionByName(delta).distinct()
+
+
+def match_stream(states: DataFrame, rules: object) -> DataFrame:
+    """Matches on a stream of states (state_id, edges): narrow, so no watermark or state is needed."""
+    return matches(states.select(F.col("state_id"), "edges"), R.rules(rules))
