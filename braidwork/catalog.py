@@ -403,9 +403,9 @@ def grid_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CELLS.format(w=30, h=20)}, k AS (SELECT i, j, v, row_number() OVER (ORDER BY i, j) AS name FROM c WHERE (i - 10) ** 2 + (j - 10) ** 2 >= 9),
+    f"""WITH {_CELLS.format(w=30, h=20)}, k AS (SELECT i, j, v, row_number() OVER (ORDER BY i, j) AS name FROM c WHERE (i - 11) ** 2 + (j - 11) ** 2 >= 9),
 l AS (SELECT a.name AS src, b.name AS dst, (a.i + b.i) / 2.0 AS x, (a.j + b.j) / 2.0 AS y FROM k a JOIN k b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1))
-SELECT src, dst FROM l WHERE (x - 10) ** 2 + (y - 10) ** 2 >= 9"""
+SELECT src, dst FROM l WHERE (x - 11) ** 2 + (y - 11) ** 2 >= 9"""
 )
 def grid_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.grid_with_holes(spark, 30, 20, [(10, 10, 3)])
@@ -431,7 +431,13 @@ def moebius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.moebius_strip(spark, 21)
 
 
-@query()
+@query(
+    """WITH r AS (SELECT k, greatest(1, round_even(24 * sin(pi() * (k - 0.5) / 12), 0))::BIGINT AS n FROM generate_series(1, 12) t(k)),
+o AS (SELECT n, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, lead(n) OVER (ORDER BY k) AS nx FROM r),
+v AS (SELECT *, unnest(range(0, n)) AS j FROM o)
+SELECT start + j + 1 AS src, start + (j + 1) % n + 1 AS dst FROM v
+UNION ALL SELECT start + j + 1, start + n + least(round_even(j * nx / n::DOUBLE, 0)::BIGINT + 1, nx) FROM v WHERE nx IS NOT NULL"""
+)
 def sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.sphere(spark, 12)
 

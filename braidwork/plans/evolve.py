@@ -311,12 +311,27 @@ class Evolution:
         return keys.join(keys.groupBy("key").agg(F.min("event_id").alias("canonical_event_id")), "key").select("event_id", "canonical_event_id")
 
     def num_events(self, mode: str = "None") -> int:
-        """Automatic counts the matches of one representative of each class that is expanded."""
+        """Events that are different in this mode; see automatic_events() for Automatic."""
         if mode == "Automatic":
-            first = self.formed.groupBy("form").agg(F.min(F.struct("step", "state_id")).alias("f")).select("f.step", F.col("f.state_id").alias("input_state")).where(F.col("step") < self.steps)
-            return self.events.join(first.select("input_state"), "input_state", "left_semi").count()
+            return self.automatic_events().count()
         return self.event_keys(mode).select("key").distinct().count()
 
+    def automatic_events(self) -> DataFrame:
+        """Events by input and output class, consumed and produced edges: the rule doesn't count.
+
+        Each class stands for itself by its first state, among those that were expanded; events of
+        one state that consume the same edges are one if their outputs map onto each other with
+        the produced edges in order.
+        """
+        first = self.formed.groupBy("form").agg(F.min(F.struct("step", "state_id")).alias("f")).select("f.step", F.col("f.state_id").alias("input_state")).where(F.col("step") < self.steps)
+        events = self.events.join(first.select("input_state"), "input_state", "left_semi")
+        if len(self.rules) < 2:
+            return events.select("input_state", "consumed")
+        out = self.states.select(F.col("state_id").alias("output_state"), "edges")
+        mark = F.transform("edges", lambda e: F.array_position("produced", e["edge_id"]).cast("string"))
+        both = events.join(out, "output_state").select("input_state", "consumed", text(contents(F.col("edges"))).alias("_t"), F.array_join(mark, ",").alias("_m"))
+        return both.withColumn("form", canonical.marked_form("_t", "_m")).select("input_state", "consumed", "form").distinct()
+
     def causal(self, reduce: bool = True) -> DataFrame:
         """producer, consumer, edge_id; reduced ones leave out pairs that a longer path joins."""
         rows = self.events.select(F.col("event_id").alias("consumer"), F.explode("causes").alias("c")).select("c.producer", "consumer", "c.edge_id", "c.kept")

@@ -40,8 +40,11 @@ def grid(spark: SparkSession, width: int, height: int, diagonals: bool = False)
     return _links(cells(spark, width, height), links)
 
 
-def grid_with_holes(spark: SparkSession, width: int, height: int, holes: list[tuple[float, float, float]]) -> DataFrame:
-    """Without vertices strictly inside a hole (x, y, radius) and edges whose middle is; vertices are numbered anew in order."""
+def grid_with_holes(spark: SparkSession, width: int, height: int, holes: list[tuple[float, float, float]], diagonals: bool = False) -> DataFrame:
+    """Without vertices strictly inside a hole (x, y, radius) and edges whose middle is; vertices are numbered anew in order.
+
+    Vertex (i, j) lies at (i - 1, j - 1).
+    """
     from pyspark.sql import Window
 
     def free(x: Column, y: Column) -> Column:
@@ -50,13 +53,16 @@ def grid_with_holes(spark: SparkSession, width: int, height: int, holes: list[tu
             out = out & ((x - a) * (x - a) + (y - b) * (y - b) >= r * r)
         return out
 
-    i, j = F.col("i"), F.col("j")
-    kept = cells(spark, width, height).where(free(i, j))
+    i, j, v = F.col("i"), F.col("j"), F.col("v")
+    kept = cells(spark, width, height).where(free(i - 1, j - 1))
     # Numbers by column of cells, so that no window spans the grid.
     counts = kept.groupBy("i").agg(F.count("*").alias("n"))
     base = counts.select("i", F.coalesce(F.sum("n").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     names = kept.join(base, "i").select("i", "j", "v", (F.col("base") + F.row_number().over(Window.partitionBy("i").orderBy("j"))).alias("name"))
-    raw = _links(kept.where(free(i + 0.5, j)), [(i < width, F.col("v") + height)]).unionByName(_links(kept.where(free(i, j + 0.5)), [(j < height, F.col("v") + 1)]))
+    links = [(i < width, v + height, i - 0.5, j - 1), (j < height, v + 1, i - 1, j - 0.5)]
+    if diagonals:
+        links += [((i < width) & (j < height), v + height + 1, i - 0.5, j - 0.5), ((i < width) & (j > 1), v + height - 1, i - 0.5, j - 1.5)]
+    raw = _links(kept, [(ok & free(x, y), to) for ok, to, x, y in links])
     a, b = (names.select(F.col("v").alias(c), F.col("name").alias(f"_{c}")) for c in ("src", "dst"))
     return raw.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
 
@@ -93,7 +99,7 @@ def sphere(spark: SparkSession, resolution: int) -> DataFrame:
     rows = spark.createDataFrame([(k, n, starts[k], sizes[k + 1] if k + 1 < len(sizes) else 0) for k, n in enumerate(sizes)], "ring int, n int, start long, next int")
     at = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).withColumn("v", F.col("start") + F.col("k") + 1)
     around = F.col("start") + (F.col("k") + 1) % F.col("n") + 1
-    up = F.col("start") + F.col("n") + F.bround(F.col("k") * F.col("next") / F.col("n")).cast("long") % F.greatest("next", F.lit(1)) + 1
+    up = F.col("start") + F.col("n") + F.least(F.bround(F.col("k") * F.col("next") / F.col("n")).cast("long") + 1, F.col("next").cast("long"))
     return _links(at, [(F.lit(True), around), (F.col("next") > 0, up)])
 
 
@@ -112,7 +118,7 @@ def light_cone(points: DataFrame, speed: float = 1.0, cutoff: float = float("inf
     s = points.select("id", "t", "x")
     o = points.select(F.col("id").alias("id2"), F.col("t").alias("t2"), F.col("x").alias("x2"))
     dt, dx = F.col("t2") - F.col("t"), F.col("x2") - F.col("x")
-    tau2 = speed * speed * dt * dt - dx * dx
+    tau2 = dt * dt - dx * dx / (speed * speed)
     ok = (dt > 0) & (tau2 > 0)
     if math.isfinite(cutoff):
         ok = ok & (tau2 <= cutoff * cutoff)
@@ -127,8 +133,25 @@ def without_shortcuts(pairs: DataFrame) -> DataFrame:
 
 def sprinkled(spark: SparkSession, n: int, seed: int = 1, extent: float = 1.0) -> DataFrame:
     """n events (id by order of t, t, x) that depend on the seed alone."""
-    rows = spark.range(n).select(uniform(seed, F.lit("t"), F.col("id")).alias("t"), (uniform(seed, F.lit("x"), F.col("id")) * 2 * extent - extent).alias("x"), F.col("id"))
-    return rows.select((F.col("id") + 1).alias("id"), "t", "x")
+    from pyspark.sql import Window
+
+    rows = spark.range(n).select("id", uniform(seed, F.lit("t"), F.col("id")).alias("t"), (uniform(seed, F.lit("x"), F.col("id")) * 2 * extent - extent).alias("x"))
+    return rows.select(F.row_number().over(Window.orderBy("t", "id")).cast("long").alias("id"), "t", "x")  # one task, but all pairs of the rows come next
+
+
+def first_links(pairs: DataFrame, most: int) -> DataFrame:
+    """The first `most` links of each vertex, by the other end."""
+    from pyspark.sql import Window
+
+    return pairs.withColumn("_k", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_k") <= most).drop("_k")
+
+
+def minkowski(spark: SparkSession, n: int, seed: int = 1, speed: float = 1.0, cutoff: float = float("inf"), reduce: bool = True, most_links: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Sprinkled events and their causal links."""
+    points = sprinkled(spark, n, seed)
+    pairs = light_cone(points, speed, cutoff)
+    pairs = without_shortcuts(pairs) if reduce else pairs
+    return points, first_links(pairs, most_links) if most_links > 0 else pairs
 
 
 def uniform_cloud(spark: SparkSession, n: int, seed: int = 1, side: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -161,15 +184,15 @@ def brill_lindquist(spark: SparkSession, n: int, masses: tuple[float, float], se
     """Points kept with probability psi**4 / 100 outside two horizons, and links whose middle is outside them too."""
 
     def distance(x: Column, y: Column, k: int) -> Column:
-        at = (k - 0.5) * separation
+        at = (0.5 - k) * separation
         return F.sqrt((x - at) * (x - at) + y * y)
 
     def outside(x: Column, y: Column) -> Column:
-        return (distance(x, y, 0) > masses[0] / 2) & (distance(x, y, 1) > masses[1] / 2)
+        return (distance(x, y, 0) >= masses[0] / 2) & (distance(x, y, 1) >= masses[1] / 2)
 
     x, y = F.col("x"), F.col("y")
-    tries = spark.range(200 * n).select("id", (uniform(seed, F.lit("x"), F.col("id")) * 2 * box - box).alias("x"), (uniform(seed, F.lit("y"), F.col("id")) * 2 * box - box).alias("y"))
-    psi = 1 + masses[0] / (2 * distance(x, y, 0)) + masses[1] / (2 * distance(x, y, 1))
+    tries = spark.range(1000 * n).select("id", (uniform(seed, F.lit("x"), F.col("id")) * 2 * box - box).alias("x"), (uniform(seed, F.lit("y"), F.col("id")) * 2 * box - box).alias("y"))
+    psi = 1 + masses[0] / (2 * F.greatest(distance(x, y, 0), F.lit(0.001))) + masses[1] / (2 * F.greatest(distance(x, y, 1), F.lit(0.001)))
     kept = tries.where(outside(x, y) & (uniform(seed, F.lit("keep"), F.col("id")) < F.pow(psi, 4) / 100)).orderBy("id").limit(n)
     pairs = near_pairs(kept, threshold)
     a, b = (kept.select(F.col("id").alias(c), F.col("x").alias(f"{c}_x"), F.col("y").alias(f"{c}_y")) for c in ("src", "dst"))
