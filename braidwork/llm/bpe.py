@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from .common import mapped
 
-#: Entries that a worker remembers of words and of token pairs before it starts anew.
-MOST_WORDS, MOST_PAIRS = 300_000, 400_000
+#: Entries that a worker remembers of words, in two generations, and of token pairs before it starts anew.
+MOST_WORDS, MOST_PAIRS = 500_000, 400_000
 
 
 class Vocabulary:
@@ -55,9 +55,6 @@ class Vocabulary:
         border and would have merged before the border's sides were complete tells them false.
         """
         key = left << 20 | right
-        known = self.apart_seen.get(key)
-        if known is not None:
-            return known
         joined, halves, limit, ok = self.joined, self.halves, 1 << 60, True
         while True:
             over = joined.get((left, right))
@@ -88,14 +85,22 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         v, done, last, start = self.vocabulary, len(self.data), self.last, self.start
         self.data = data = self.data + more
-        get, apart, longest = v.ranks.get, v.apart, v.longest
+        get, apart, known, longest = v.ranks.get, v.apart, v.apart_seen.get, v.longest
         for end in range(done + 1, len(data) + 1):
-            for at in range(max(0, end - longest), end):
+            token = get(data[:end]) if end <= longest else None
+            if token is not None:
+                last.append(token)
+                start.append(0)
+                continue
+            for at in range(max(1, end - longest), end):
                 token = get(data[at:end])
-                if token is not None and (at == 0 or apart(last[at], token)):
-                    last.append(token)
-                    start.append(at)
-                    break
+                if token is not None:
+                    before = last[at]
+                    ok = known(before << 20 | token)
+                    if apart(before, token) if ok is None else ok:
+                        last.append(token)
+                        start.append(at)
+                        break
             else:
                 raise ValueError("the vocabulary lacks a byte")
 
@@ -122,25 +127,56 @@ class Codec:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.vocabulary, self.find, self.seen = Vocabulary(ranks), regex.compile(pattern).findall, {}
+        self.vocabulary, self.find, self.seen, self.older = Vocabulary(ranks), regex.compile(pattern).findall, {}, {}
+        self.name = {i: str(i) for i in ranks.values()}
 
-    def _word(self, word: str) -> tuple[int, str, bytes]:
+    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
         """Number of ids, the ids as text, and the bytes that they decode to."""
-        data = word.encode()
-        v = self.vocabulary
-        whole = v.ranks.get(data)
-        ids = [whole] if whole is not None else Prefixes(v, data).ids()
-        if len(self.seen) >= MOST_WORDS:
-            self.seen.clear()
-        out = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(data) < 64:
-            self.seen[word] = out
+        name = self.name
+        return len(ids), " ".join([name[i] for i in ids]), self.decode(ids)
+
+    def _word(self, word: str) -> tuple[int, str, bytes]:
+        out = self.older.get(word)
+        if out is None:
+            data = word.encode()
+            whole = self.vocabulary.ranks.get(data)
+            out = self._entry([whole] if whole is not None else Prefixes(self.vocabulary, data).ids())
+            if len(data) >= 64:
+                return out
+        self.seen[word] = out
         return out
 
+    def learn(self, found: set[str]) -> None:
+        """Encode the words that aren't known yet, in order of their bytes: each is an edit of the one before, and keeps what they begin with."""
+        if len(self.seen) >= MOST_WORDS // 2:
+            self.older, self.seen = self.seen, {}
+        seen, older, ranks = self.seen, self.older, self.vocabulary.ranks
+        new = sorted((w.encode(), w) for w in found if w not in seen and w not in older)
+        p = Prefixes(self.vocabulary)
+        for data, w in new:
+            whole = ranks.get(data)
+            if whole is not None:
+                seen[w] = self._entry([whole])
+            elif len(data) < 64:
+                old, k = p.data, 0
+                for x, y in zip(old, data):
+                    if x != y:
+                        break
+                    k += 1
+                p.edit(k, len(old), data[k:])
+                seen[w] = self._entry(p.ids())
+
     def parts(self, text: str) -> list[tuple[int, str, bytes]]:
         get, word = self.seen.get, self._word
         return [get(w) or word(w) for w in self.find(text)]
 
+    def batch(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+        """parts() of many texts; what they share is encoded once."""
+        found = [self.find(t) for t in texts]
+        self.learn(set().union(*found))
+        get, word = self.seen.get, self._word
+        return [[get(w) or word(w) for w in f] for f in found]
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.parts(text) for i in p[1].split()]
 
@@ -163,8 +199,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batch: dict) -> dict:
         c, out = codec(path, pattern), {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for text in batch["text"]:
-            parts = c.parts(text or "")
+        for parts in c.batch([t or "" for t in batch["text"]]):
             out["n_tokens"].append(sum([p[0] for p in parts]))
             out["ids_sha256"].append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
