@@ -67,10 +67,6 @@ def sql_match(r: Rule) -> str:
     return "FROM " + ", ".join(f"e e{i}" for i in range(len(r.lhs))) + " WHERE " + " AND ".join(conditions)
 
 
-def sql_text(list_of_lists: str) -> str:
-    return f"array_to_string(list_transform({list_of_lists}, e -> array_to_string(e, ',')), ';')"
-
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
