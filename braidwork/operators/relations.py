@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to spark.checkpoint.dir and read back, which cuts its lineage."""
+    import atexit
+    import shutil
     import tempfile
 
     spark = df.sparkSession
@@ -17,7 +19,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = spark._braidwork_dir = f"file://{tempfile.mkdtemp(prefix='braidwork-')}"
+        own = tempfile.mkdtemp(prefix="braidwork-")
+        atexit.register(shutil.rmtree, own, True)
+        folder = spark._braidwork_dir = f"file://{own}"
     path = f"{folder.rstrip('/')}/braidwork-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
