@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    spark._braidwork_dir = f"file://{tempfile.mkdtemp(prefix='braidwork-')}"
+    own = tempfile.mkdtemp(prefix="braidwork-")
+    atexit.register(shutil.rmtree, own, True)
+    spark._braidwork_dir = f"file://{own}"
     return spark._braidwork_dir
 
 
