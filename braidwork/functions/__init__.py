@@ -43,6 +43,18 @@ def text(edges: Column) -> Column:
     return F.array_join(F.transform(edges, lambda e: F.array_join(F.transform(e, lambda v: v.cast("string")), ",")), ";")
 
 
+def component_sets(edges: Column) -> Column:
+    """Connected components of edges (arrays of vertices), as arrays of vertices; each edge merges the sets that it meets."""
+    none = F.array().cast("array<array<bigint>>")
+
+    def merge(sets: Column, edge: Column) -> Column:
+        hit = F.filter(sets, lambda s: F.arrays_overlap(s, edge))
+        rest = F.filter(sets, lambda s: ~F.arrays_overlap(s, edge))
+        return F.concat(rest, F.array(F.array_distinct(F.concat(edge, F.flatten(hit)))))
+
+    return F.aggregate(edges, none, merge)
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
     h = F.xxhash64(F.lit(seed), *key)

@@ -40,14 +40,26 @@ def causal_pairs(triples: DataFrame) -> DataFrame:
     return triples.select("producer", "consumer").distinct()
 
 
-def branchial_pairs(consumed: DataFrame) -> DataFrame:
-    """(event1 < event2, shared_edge) of events of one input state that consume the same edge; the least such edge.
+def branchial_triples(consumed: DataFrame) -> DataFrame:
+    """(event1 < event2, shared_edge): a row for each edge of one input state that both events consume.
 
     consumed: event_id, input_state, edge_id.
     """
     a = consumed.select("input_state", "edge_id", F.col("event_id").alias("event1"))
     b = consumed.select("input_state", "edge_id", F.col("event_id").alias("event2"))
-    return a.join(b, ["input_state", "edge_id"]).where("event1 < event2").groupBy("event1", "event2").agg(F.min("edge_id").alias("shared_edge"))
+    return a.join(b, ["input_state", "edge_id"]).where("event1 < event2").select("event1", "event2", F.col("edge_id").alias("shared_edge"))
+
+
+def branchial_pairs(consumed: DataFrame) -> DataFrame:
+    """One row of branchial_triples for each pair, with the least shared edge."""
+    return branchial_triples(consumed).groupBy("event1", "event2").agg(F.min("shared_edge").alias("shared_edge"))
+
+
+def indexed(triples: DataFrame, src: str, dst: str, edge: str) -> DataFrame:
+    """triples with edge_index, which numbers the edges of one pair from 0."""
+    from pyspark.sql import Window
+
+    return triples.withColumn("edge_index", F.row_number().over(Window.partitionBy(src, dst).orderBy(edge)) - 1)
 
 
 def branchial_cliques(consumed: DataFrame) -> DataFrame:
@@ -55,8 +67,9 @@ def branchial_cliques(consumed: DataFrame) -> DataFrame:
     return consumed.groupBy("input_state", "edge_id").agg(F.count("*").alias("events"))
 
 
-def siblings(events: DataFrame) -> DataFrame:
-    """All pairs of output states of one input state, whether their events overlap or not."""
+def siblings(events: DataFrame, step: int | None = None) -> DataFrame:
+    """All pairs of output states of one input state, whether their events overlap or not; of all steps or of one."""
+    events = events if step is None else events.where(F.col("step") == step)
     a = events.select("input_state", F.col("event_id").alias("_a"), F.col("output_state").alias("state1"))
     b = events.select("input_state", F.col("event_id").alias("_b"), F.col("output_state").alias("state2"))
     return a.join(b, "input_state").where("_a < _b").select("state1", "state2")

@@ -117,6 +117,16 @@ def _selected(found: DataFrame, rules: list[R.Rule], o: Options, quotient: bool)
     return found
 
 
+def ancestry(rows: DataFrame) -> DataFrame:
+    """Bit masks by depth on the chain that leads to a row's state: _direct of the events that made what it uses, _reach of their causes.
+
+    rows: used (edges with cdepth) and hist.
+    """
+    direct = F.expr("aggregate(used, 0L, (a, e) -> if(e.cdepth is null, a, a | shiftleft(1L, e.cdepth)))")
+    reach = F.expr("aggregate(hist, struct(0L as m, 1 as d), (a, h) -> named_struct('m', if((_direct & shiftleft(1L, a.d)) != 0L, a.m | h.anc, a.m), 'd', a.d + 1), a -> a.m)")
+    return rows.withColumn("_direct", direct).withColumn("_reach", reach)
+
+
 def _rewritten(found: DataFrame, rules: list[R.Rule], step: int, state0: int, vertex0: int, edge0: int) -> DataFrame:
     """Event and output state of numbered matches, in one row."""
     fresh = max(1, *(len(r.new_variables) for r in rules))
@@ -131,9 +141,7 @@ def _rewritten(found: DataFrame, rules: list[R.Rule], step: int, state0: int, ve
             for k, e in enumerate(r.rhs)
         ]
         made = F.when(F.col("rule") == i, F.array(*edges).cast(f"array<{EDGE}>") if edges else none).otherwise(made)
-    direct = F.expr("aggregate(used, 0L, (a, e) -> if(e.cdepth is null, a, a | shiftleft(1L, e.cdepth)))")
-    reach = F.expr("aggregate(hist, struct(0L as m, 1 as d), (a, h) -> named_struct('m', if((_direct & shiftleft(1L, a.d)) != 0L, a.m | h.anc, a.m), 'd', a.d + 1), a -> a.m)")
-    rows = found.withColumn("made", made).withColumn("_direct", direct).withColumn("_reach", reach)
+    rows = ancestry(found.withColumn("made", made))
     causes = F.expr("transform(filter(used, e -> e.creator is not null), e -> named_struct('producer', e.creator, 'edge_id', e.edge_id, 'kept', (_reach & shiftleft(1L, e.cdepth)) = 0L))")
     left = F.expr("filter(edges, e -> NOT array_contains(consumed, e.edge_id))")
     return rows.select(
@@ -187,13 +195,14 @@ class Evolution:
     def frontier_rows(self) -> DataFrame:
         return self._all(list(self.levels.values())) if self.levels else self.state_parts[0].limit(0)
 
-    def step(self, n: int = 1, only: list[int] | None = None) -> Evolution:
-        """Raise the depth by n and expand all of the frontier up to it; `only` expands just these states of it, once.
+    def step(self, n: int = 1, only: list[int] | DataFrame | None = None) -> Evolution:
+        """Raise the depth by n and expand all of the frontier up to it; `only` (numbers, or a DataFrame with state_id) expands just these states of it, once.
 
         What `only` leaves out stays in the frontier and catches up with the next plain step.
         """
         if only is not None:
-            wanted = checkpointed(self.spark.createDataFrame([(i,) for i in only], "state_id long").distinct())
+            rows = only.select("state_id") if isinstance(only, DataFrame) else self.spark.createDataFrame([(i,) for i in only], "state_id long")
+            wanted = checkpointed(rows.distinct())
             if wanted.join(self.frontier_rows, "state_id", "left_anti").count():
                 raise ValueError("a state isn't in the frontier")
             parts = {k: checkpointed(f.join(wanted, "state_id", "left_semi")) for k, f in self.levels.items()}
@@ -295,22 +304,37 @@ class Evolution:
         least = keys.groupBy("key").agg(F.min("state_id").alias("canonical_id"))
         return keys.join(least, "key").select("state_id", "canonical_id")
 
-    def event_keys(self, mode: str = "None") -> DataFrame:
-        """event_id, key: None: each event is itself; Full: input and output classes; Automatic: see num_events."""
+    def event_keys(self, mode: str | list[str] = "None", state_mode: str = "Full") -> DataFrame:
+        """event_id, key. None: each event is itself; Full: input and output classes; Positional or a list: see EVENT_KEYS.
+
+        Step is the least of the output's class. Edges are places in their state's canonical form, in the order of
+        the rule; among edges that a symmetry exchanges the place depends on how ties are broken.
+        """
         if mode == "None":
             return self.events.select("event_id", F.struct("event_id").alias("key"))
-        if mode == "Full":
-            ids = self.canonical_ids("Full")
-            a = ids.select(F.col("state_id").alias("input_state"), F.col("canonical_id").alias("a"))
-            b = ids.select(F.col("state_id").alias("output_state"), F.col("canonical_id").alias("b"))
-            return self.events.join(a, "input_state").join(b, "output_state").select("event_id", F.struct("a", "b").alias("key"))
-        raise ValueError("event mode must be None or Full")
-
-    def canonical_events(self, mode: str = "Full") -> DataFrame:
-        keys = self.event_keys(mode)
+        keys = EVENT_MODES.get(mode) if isinstance(mode, str) else tuple(mode)
+        if not keys or set(keys) - set(EVENT_KEYS):
+            raise ValueError(f"event mode must be None, one of {list(EVENT_MODES)} or a list of {list(EVENT_KEYS)}")
+        out = self.events
+        if set(keys) & {"InputState", "OutputState", "Step"}:
+            ids = self.canonical_ids(state_mode)
+            first = ids.join(self.states.select("state_id", "step"), "state_id").groupBy("canonical_id").agg(F.min("step").alias("first_step"))
+            out = out.join(ids.select(F.col("state_id").alias("input_state"), F.col("canonical_id").alias("_InputState")), "input_state")
+            to = ids.join(first, "canonical_id") if "Step" in keys else ids.withColumn("first_step", F.lit(0))
+            out = out.join(to.select(F.col("state_id").alias("output_state"), F.col("canonical_id").alias("_OutputState"), F.col("first_step").alias("_Step")), "output_state")
+        out = out.withColumn("_Rule", F.col("rule"))
+        if set(keys) & {"ConsumedEdges", "ProducedEdges"}:
+            framed = checkpointed(canonical.with_frame(self.states.select("state_id", "edges")).select("state_id", F.map_from_arrays(F.transform("edges", lambda e: e["edge_id"]), F.col("ranks")).alias("places")))
+            for ends, edges, name in (("input_state", "consumed", "ConsumedEdges"), ("output_state", "produced", "ProducedEdges")):
+                if name in keys:
+                    out = out.join(framed.withColumnRenamed("state_id", ends), ends).withColumn(f"_{name}", F.transform(edges, lambda e: F.element_at("places", e))).drop("places")
+        return out.select("event_id", F.struct(*(F.col(f"_{k}").alias(k) for k in keys)).alias("key"))
+
+    def canonical_events(self, mode: str | list[str] = "Full", state_mode: str = "Full") -> DataFrame:
+        keys = self.event_keys(mode, state_mode)
         return keys.join(keys.groupBy("key").agg(F.min("event_id").alias("canonical_event_id")), "key").select("event_id", "canonical_event_id")
 
-    def num_events(self, mode: str = "None") -> int:
+    def num_events(self, mode: str | list[str] = "None") -> int:
         """Events that are different in this mode; see automatic_events() for Automatic."""
         if mode == "Automatic":
             return self.automatic_events().count()
@@ -332,6 +356,25 @@ class Evolution:
         both = events.join(out, "output_state").select("input_state", "consumed", text(contents(F.col("edges"))).alias("_t"), F.array_join(mark, ",").alias("_m"))
         return both.withColumn("form", canonical.marked_form("_t", "_m")).select("input_state", "consumed", "form").distinct()
 
+    def genesis(self) -> DataFrame:
+        """Events (rule -1, numbered -1 - root) that make the roots out of the empty state -1, in the columns of events."""
+        none = F.array().cast("array<bigint>")
+        causes = F.array().cast("array<struct<producer:bigint,edge_id:bigint,kept:boolean>>")
+        return self.state_parts[0].select(
+            (-1 - F.col("root")).alias("event_id"), F.lit(-1).alias("rule"), "step", "root", F.lit(-1).cast("long").alias("input_state"), F.col("state_id").alias("output_state"),
+            none.alias("consumed"), F.transform("edges", lambda e: e["edge_id"]).alias("produced"), causes.alias("causes"),
+        )
+
+    def causal_with_genesis(self, reduce: bool = True) -> DataFrame:
+        """causal() and what events consume of their root.
+
+        Every event descends from its root's genesis, so that the reduction keeps that link only where an event has no other cause.
+        """
+        made = F.transform("causes", lambda c: c["edge_id"])
+        rows = self.events.where(F.size("causes") == 0) if reduce else self.events
+        first = rows.select((-1 - F.col("root")).alias("producer"), F.col("event_id").alias("consumer"), F.explode(F.array_except("consumed", made)).alias("edge_id"))
+        return first.unionByName(self.causal(reduce))
+
     def causal(self, reduce: bool = True) -> DataFrame:
         """producer, consumer, edge_id; reduced ones leave out pairs that a longer path joins."""
         rows = self.events.select(F.col("event_id").alias("consumer"), F.explode("causes").alias("c")).select("c.producer", "consumer", "c.edge_id", "c.kept")
@@ -359,7 +402,7 @@ class Evolution:
 
     def raw_counts(self) -> DataFrame:
         """Quotient only: raw states by depth, without making them: instances of a class times its matches."""
-        now = self.class_rows.where("depth = 0").select("form", F.lit(1).cast("long").alias("n"))
+        now = checkpointed(canonical.with_form(self.state_parts[0]).groupBy("form").agg(F.count("*").alias("n")))
         moves = self._all(self.transition_parts).groupBy("from_class", "to_class").agg(F.count("*").alias("m"))
         out = now.agg(F.sum("n").alias("states")).select(F.lit(0).alias("depth"), "states")
         for d in range(1, self.steps + 1):
@@ -406,6 +449,10 @@ class Evolution:
         return edges(named(named(rows.select("s1", "s2"), "s1"), "s2"), "SS", "s1", "s2", "Branchial")
 
 
+#: What events can be told apart by, and named choices of it.
+EVENT_KEYS = ("InputState", "OutputState", "Step", "Rule", "ConsumedEdges", "ProducedEdges")
+EVENT_MODES = {"Full": ("InputState", "OutputState"), "Positional": ("InputState", "OutputState", "Step", "ConsumedEdges", "ProducedEdges")}
+
 GRAPHS = {
     "StatesGraph": ["states"],
     "CausalGraph": ["causal"],

@@ -203,7 +203,13 @@ def brill_lindquist(spark: SparkSession, n: int, masses: tuple[float, float], se
 GENERATORS = {"Grid": grid, "GridWithHoles": grid_with_holes, "Cylinder": cylinder, "Torus": torus, "Sphere": sphere, "KleinBottle": klein_bottle, "MobiusStrip": moebius_strip}
 
 
+CLOUDS = {"MinkowskiSprinkling": minkowski, "BrillLindquist": brill_lindquist, "PoissonDisk": poisson_disk, "UniformRandom": uniform_cloud}
+
+
 def generate(spark: SparkSession, kind: str, **how: object) -> DataFrame:
+    """Edges (src, dst) of a lattice, or of a cloud's links."""
+    if kind in CLOUDS:
+        return CLOUDS[kind](spark, **how)[1]
     if kind not in GENERATORS:
         raise ValueError(f"unknown initial condition {kind}")
     return GENERATORS[kind](spark, **how)

@@ -30,7 +30,7 @@ class Session:
             raise ValueError("the session is closed")
         return self.evolution
 
-    def step(self, n: int = 1, only: list[int] | None = None) -> Session:
+    def step(self, n: int = 1, only: list[int] | DataFrame | None = None) -> Session:
         self._live().step(n, only)
         return self
 
