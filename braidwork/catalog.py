@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.functions import compatible, contents, renumbered, signature, text
+from braidwork.functions import compatible, component_sets, contents, renumbered, signature, text
 from braidwork.operators import canonical, match, relations
+from braidwork.plans import results
 from braidwork.plans.evolve import Evolution, Options, evolve
+from braidwork.plans.replay import replay
 from braidwork.rules import Rule, rule, rules
 from braidwork.sources import generators, tables
 from braidwork.streaming import Session
@@ -123,6 +125,17 @@ def degree_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.groupBy("state_id", "vertex").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "n", "k"))), " ").alias("signature"))
 
 
+@query(
+    f"""WITH RECURSIVE {sql_edges('F2')}, l AS (SELECT state_id, verts[1] AS a, verts[2] AS b FROM e UNION SELECT state_id, verts[2], verts[1] FROM e),
+r AS (SELECT state_id, a, a AS b FROM l UNION SELECT r.state_id, r.a, l.b FROM r JOIN l ON l.state_id = r.state_id AND l.a = r.b),
+c AS (SELECT state_id, a, min(b) AS least FROM r GROUP BY ALL)
+SELECT state_id, count(DISTINCT least) AS components, count(*) AS vertices FROM c GROUP BY state_id"""
+)
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = tables.states(spark, sf_dir).select("state_id", component_sets(contents(F.col("edges"))).alias("s"))
+    return sets.select("state_id", F.size("s").cast("long").alias("components"), F.size(F.flatten("s")).cast("long").alias("vertices"))
+
+
 # -- matching ----------------------------------------------------------------------------
 
 
@@ -187,6 +200,22 @@ def match_forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("state_id", F.array_join(F.col("matched").cast("array<string>"), ",").alias("matched"))
 
 
+#: {{x,y}} -> {{x,y},{y,z}}: z is new.
+GROW = rule([("x", "y")], [("x", "y"), ("y", "z")])
+
+
+@query(
+    f"""WITH {sql_edges('F2')}, top AS (SELECT max(greatest(verts[1], verts[2])) + 1 AS n FROM e),
+m AS (SELECT row_number() OVER (ORDER BY state_id, edge_id) - 1 AS event_id, state_id AS input_state, verts FROM e)
+SELECT event_id, input_state, verts[2] AS src, event_id + n AS dst FROM m, top"""
+)
+def fresh_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge that holds the vertex which each event makes."""
+    e = evolve(spark, [GROW], tables.roots(spark, sf_dir), 1)
+    last = e.states.where("step = 1").select(F.col("state_id").alias("output_state"), F.element_at(contents(F.col("edges")), -1).alias("v"))
+    return e.events.join(last, "output_state").select("event_id", "input_state", F.get("v", F.lit(0)).alias("src"), F.get("v", F.lit(1)).alias("dst"))
+
+
 # -- evolution ---------------------------------------------------------------------------
 
 #: Two steps of {{x,y},{y,z}} -> {{x,z}} from every order. Edges: id, ends, the event that made them.
@@ -332,6 +361,93 @@ def emptying_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.where("survivors > 0")
 
 
+@query(SQL_EVOLVE + "SELECT input_state AS state_id, count(*) AS matches FROM m2 GROUP BY input_state")
+def match_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What children inherit from their parents and what their new edge makes possible: all of their matches."""
+    e = evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1)
+    made = e.events.select(F.col("output_state").alias("state_id"), F.col("input_state").alias("parent_state"), "consumed", "produced")
+    old = match.forwarded(match.matches(e.states.where("step = 0"), [PATH2]), made)
+    new = match.delta_matches(e.states.where("step = 1").select("state_id", "edges").join(made.select("state_id", "produced"), "state_id"), PATH2)
+    return old.unionByName(new).groupBy("state_id").agg(F.count("*").alias("matches"))
+
+
+@query(SQL_EVOLVE + "SELECT producer, consumer, count(*) AS edges FROM (SELECT unnest([pa, pb]) AS producer, event_id AS consumer FROM ev) WHERE producer IS NOT NULL GROUP BY ALL")
+def causal_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).causal(reduce=False).groupBy("producer", "consumer").agg(F.count("*").alias("edges"))
+
+
+@query(
+    SQL_EVOLVE
+    + """, origin AS (SELECT event_id, input_state AS root FROM m1 UNION ALL SELECT m2.event_id, m1.input_state FROM m2 JOIN (SELECT *, event_id + n AS output_state FROM m1, top) m1 ON m2.input_state = m1.output_state)
+SELECT producer, consumer FROM causal WHERE producer IS NOT NULL
+UNION ALL SELECT -1 - root, event_id FROM ev JOIN origin USING (event_id) WHERE pa IS NULL AND pb IS NULL"""
+)
+def causal_with_genesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reduced causal pairs, with an event that makes each order."""
+    return relations.causal_pairs(_two_steps(spark, sf_dir).causal_with_genesis())
+
+
+@query(SQL_EVOLVE + "SELECT event_id AS creator, x AS src, y AS dst FROM ev")
+def edge_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _two_steps(spark, sf_dir).global_edges().where("creator IS NOT NULL")
+    return made.select("creator", F.get("verts", F.lit(0)).alias("src"), F.get("verts", F.lit(1)).alias("dst"))
+
+
+@query(SQL_EVOLVE + "SELECT state_id, count(*) AS edges FROM st GROUP BY state_id")
+def state_bitvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_steps(spark, sf_dir).state_bitvectors().select("state_id", F.size("edge_ids").cast("long").alias("edges"))
+
+
+@query(
+    SQL_EVOLVE
+    + """, c AS (SELECT state_id, string_agg(x || ',' || y, ';' ORDER BY id) AS t FROM st GROUP BY ALL), i AS (SELECT state_id, min(state_id) OVER (PARTITION BY t) AS canonical_id FROM c),
+o AS (SELECT event_id, event_id + n AS output_state, input_state FROM ev, top)
+SELECT event_id, min(event_id) OVER (PARTITION BY a.canonical_id, coalesce(b.canonical_id, -1)) AS canonical_event_id
+FROM o JOIN i a ON a.state_id = o.input_state LEFT JOIN i b ON b.state_id = o.output_state"""
+)
+def canonical_event_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event with the same contents before and after."""
+    return _two_steps(spark, sf_dir).canonical_events("Full", "Automatic")
+
+
+@query(SQL_EVOLVE + "SELECT 'E' AS src_kind, producer AS src, 'E' AS dst_kind, consumer AS dst, 'Causal' AS type FROM causal WHERE producer IS NOT NULL")
+def causal_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.result(_two_steps(spark, sf_dir), "CausalGraph", state_mode="None")
+
+
+@query(SQL_EVOLVE + "SELECT 'S' AS src_kind, event1 + n AS src, 'S' AS dst_kind, event2 + n AS dst, 'Branchial' AS type FROM branchial JOIN ev ON event1 = event_id, top WHERE ev.step = 2")
+def branchial_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.result(_two_steps(spark, sf_dir), "BranchialGraph", state_mode="None")
+
+
+@query(
+    SQL_EVOLVE
+    + """SELECT 'S' AS src_kind, input_state AS src, 'E' AS dst_kind, event_id AS dst, 'StateEvent' AS type FROM ev
+UNION ALL SELECT 'E', event_id, 'S', event_id + n, 'EventState' FROM ev, top"""
+)
+def evolution_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.result(_two_steps(spark, sf_dir), "EvolutionGraph", state_mode="None")
+
+
+@query(SQL_EVOLVE + "SELECT event_id AS Id, event_id AS CanonicalId, 0 AS RuleIndex, step AS Step, input_state AS RawInput, event_id + n AS RawOutput, input_state AS InputState, event_id + n AS OutputState FROM ev, top")
+def events_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.result(_two_steps(spark, sf_dir), "EventsMinimal", state_mode="None")
+
+
+@query(SQL_EVOLVE + "SELECT input_state, least(2, count(*)) AS matches FROM m1 GROUP BY input_state")
+def k_per_state_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two matches of each state, by a hash of the seed."""
+    e = evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1, matches_per_state_rule=2, seed=12345).events
+    return e.groupBy("input_state").agg(F.count("*").alias("matches"))
+
+
+@query(SQL_EVOLVE + "SELECT row_number() OVER (ORDER BY event_id) - 1 + n1.n AS event_id, input_state FROM m2, n1 WHERE input_state % 2 = 0")
+def steered_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second step that expands the states of even number alone."""
+    s = Session(spark, [PATH2], tables.roots(spark, sf_dir)).step()
+    return s.step(only=s.frontier().where("state_id % 2 = 0")).evolution.events.where("step = 2").select("event_id", "input_state")
+
+
 # -- identity ----------------------------------------------------------------------------
 
 
@@ -362,6 +478,24 @@ def raw_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Evolution(spark, rules([PATH2]), Options(), quotient=True).start([[0, 1], [1, 2], [2, 3], [3, 0], [0, 2]]).step(4).raw_counts()
 
 
+_SMALL = SQL_EVOLVE.replace(sql_edges("F2"), sql_edges("F2S"))
+
+
+@query(
+    _SMALL
+    + """SELECT step, count(*) AS events, (SELECT count(*) FROM causal JOIN ev c ON c.event_id = consumer WHERE producer IS NOT NULL AND c.step = ev.step) AS causal,
+(SELECT count(*) FROM branchial JOIN ev b ON b.event_id = event1 WHERE b.step = ev.step) AS branchial FROM ev GROUP BY step"""
+)
+def replayed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events, causal and branchial pairs by step, replayed from one expansion of each class of orders."""
+    r = replay(Evolution(spark, rules([PATH2]), Options(), quotient=True).start(tables.roots(spark, sf_dir, "F2S")).step(2))
+    step = r.events.select("event_id", "step")
+    caused = relations.causal_pairs(r.causal(reduce=False)).join(step.withColumnRenamed("event_id", "consumer"), "consumer").groupBy("step").agg(F.count("*").alias("causal"))
+    forked = r.branchial().join(step.withColumnRenamed("event_id", "event1"), "event1").groupBy("step").agg(F.count("*").alias("branchial"))
+    out = step.groupBy("step").agg(F.count("*").alias("events")).join(caused, "step", "left").join(forked, "step", "left")
+    return out.na.fill(0, ["causal", "branchial"])
+
+
 # -- relations ---------------------------------------------------------------------------
 
 _DAG = "d AS (SELECT DISTINCT l_suppkey % 40 AS src, l_suppkey % 40 + 1 + l_partkey % 7 AS dst FROM lineitem)"
