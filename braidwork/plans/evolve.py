@@ -185,7 +185,8 @@ class Evolution:
         self.class_rows: DataFrame | None = None
         self.transition_parts: list[DataFrame] = []
         if self.quotient:
-            formed = checkpointed(canonical.with_form(first))
+            formed = checkpointed(canonical.with_frame(first.select("state_id", "step", "root", "edges")))
+            self.frame_parts = [formed]
             least = Window.partitionBy("form").orderBy("state_id")
             self.class_rows = formed.withColumn("_k", F.row_number().over(least)).where("_k = 1").select("form", F.lit(0).alias("depth"), "state_id")
             self.levels = {0: first.join(self.class_rows.select("state_id"), "state_id", "left_semi")} if expand else {}
@@ -241,7 +242,9 @@ class Evolution:
         self.state_parts.append(states)
         frontier = states
         if self.quotient:
-            formed = checkpointed(canonical.with_form(states.select("state_id", "step", "edges")).select("state_id", "step", "form"))
+            formed = checkpointed(canonical.with_frame(states.select("state_id", "step", "root", "edges")))
+            self.frame_parts.append(formed)
+            formed = formed.select("state_id", "step", "form")
             before = self.class_rows
             sources = before.select(F.col("state_id").alias("input_state"), F.col("form").alias("from_class"))
             self.transition_parts.append(events.join(sources, "input_state").join(formed.select(F.col("state_id").alias("output_state"), F.col("form").alias("to_class")), "output_state").select("from_class", "to_class", "rule", "consumed", F.lit(level - 1).alias("depth")))
@@ -280,6 +283,8 @@ class Evolution:
     @cached_property
     def formed(self) -> DataFrame:
         """state_id, step, form of every state."""
+        if self.quotient:
+            return self._all(self.frame_parts).select("state_id", "step", "form")
         return checkpointed(canonical.with_form(self.states.select("state_id", "step", "edges")).select("state_id", "step", "form"))
 
     def frontier(self) -> DataFrame:
@@ -402,7 +407,7 @@ class Evolution:
 
     def raw_counts(self) -> DataFrame:
         """Quotient only: raw states by depth, without making them: instances of a class times its matches."""
-        now = checkpointed(canonical.with_form(self.state_parts[0]).groupBy("form").agg(F.count("*").alias("n")))
+        now = checkpointed(self.frame_parts[0].groupBy("form").agg(F.count("*").alias("n")))
         moves = self._all(self.transition_parts).groupBy("from_class", "to_class").agg(F.count("*").alias("m"))
         out = now.agg(F.sum("n").alias("states")).select(F.lit(0).alias("depth"), "states")
         for d in range(1, self.steps + 1):

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.operators import canonical, relations
+from braidwork.operators import relations
 from braidwork.operators.relations import checkpointed
 from braidwork.plans.evolve import Evolution, ancestry, numbered
 
@@ -26,7 +26,7 @@ def moves(e: Evolution) -> tuple[DataFrame, DataFrame]:
 
     class_id is the class's expanded state, carried has -1 where the move produced the edge.
     """
-    framed = canonical.with_frame(e.states.select("state_id", "step", "root", "edges"))
+    framed = e._all(e.frame_parts)
     classes = e.class_rows.select("form", F.col("state_id").alias("class_id"))
     place = F.transform("edges", lambda x: x["edge_id"])
     framed = checkpointed(framed.join(classes, "form").select("state_id", "step", "root", "class_id", place.alias("ids"), "ranks"))

@@ -71,3 +71,16 @@ def test_correspondence():
     a, b = [(0, 1), (1, 2), (2, 2)], [(5, 5), (4, 5), (3, 4)]
     assert canonical.correspondence(a, b) == [2, 1, 0]
     assert canonical.correspondence(a, [(0, 1)]) is None
+
+
+@pytest.mark.parametrize(("speed", "cutoff"), [(1.0, float("inf")), (0.5, 0.3)])
+def test_light_cone(spark, speed, cutoff):
+    from braidwork.sources import generators
+
+    points = generators.sprinkled(spark, 150, seed=4)
+    rows = points.collect()
+    near = lambda a, b: (b.t - a.t) ** 2 - (b.x - a.x) ** 2 / speed**2
+    want = sorted((a.id, b.id) for a in rows for b in rows if b.t > a.t and 0 < near(a, b) <= cutoff**2)
+    assert sorted(map(tuple, generators.light_cone(points, speed, cutoff).collect())) == want and want
+    odd = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, None, 1.0)], "id long, t double, x double")
+    assert generators.light_cone(odd).count() == 0 and generators.light_cone(odd.limit(0)).count() == 0
