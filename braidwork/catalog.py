@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.functions import compatible, component_sets, contents, renumbered, signature, text
+from braidwork.functions import colours, compatible, component_sets, contents, renumbered, signature, text
 from braidwork.operators import canonical, match, relations
 from braidwork.plans import results
 from braidwork.plans.evolve import Evolution, Options, evolve
 from braidwork.plans.replay import replay
 from braidwork.rules import Rule, rule, rules
-from braidwork.sources import generators, tables
+from braidwork.sources import coordinates, generators, tables
 from braidwork.streaming import Session
 
 PATH2 = rule([("x", "y"), ("y", "z")], [("x", "z")])
@@ -35,11 +35,13 @@ PATTERNS: dict[str, tuple[str, Rule]] = {
     "match_ternary": ("F3", rule([("x", "y", "z"), ("z", "y", "w")], [])),
     "match_repeated_var": ("F3", rule([("x", "y", "x"), ("y", "x", "z")], [])),
     "match_mixed_arity": ("FM", rule([("x", "y"), ("x", "y", "z")], [])),
+    "match_unary_binary": ("FUB", rule([("x",), ("x", "y")], [])),
     "match_unary": ("F1", rule([("x",), ("x",)], [])),
 }
 SQL_VERTS = {
     "F1": "[l_suppkey % 5]",
     "F2": "[l_partkey % 5, l_suppkey % 5]",
+    "FUB": "CASE WHEN l_returnflag = 'R' THEN [l_suppkey % 5] ELSE [l_partkey % 5, l_suppkey % 5] END",
     "F2S": "[l_partkey % 3, l_suppkey % 3]",
     "F3": "[l_partkey % 4, l_suppkey % 4, l_linenumber % 4]",
     "FM": "CASE WHEN l_linenumber % 2 = 1 THEN [l_partkey % 5, l_suppkey % 5] ELSE [l_partkey % 4, l_suppkey % 4, l_linenumber % 4] END",
@@ -136,6 +138,60 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("state_id", F.size("s").cast("long").alias("components"), F.size(F.flatten("s")).cast("long").alias("vertices"))
 
 
+def _sql_colours(rounds: int) -> str:
+    """Colours of vertices in states of FM after some rounds, in SQL."""
+    out = f"""WITH {sql_edges('FM')}, p AS (SELECT state_id, edge_id, len(verts) AS n, k - 1 AS k, verts[k] AS vertex FROM e, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= len(verts)),
+c0 AS (SELECT state_id, vertex, string_agg(n || ':' || k, ' ' ORDER BY n || ':' || k) AS c FROM p GROUP BY ALL)"""
+    for r in range(rounds):
+        out += f""", s{r} AS (SELECT state_id, edge_id, string_agg(c, '|' ORDER BY k) AS x FROM p JOIN c{r} USING (state_id, vertex) GROUP BY ALL),
+a{r} AS (SELECT state_id, vertex, string_agg(k || '@' || x, ' ' ORDER BY k || '@' || x) AS y FROM p JOIN s{r} USING (state_id, edge_id) GROUP BY ALL),
+c{r + 1} AS (SELECT state_id, vertex, md5(c || '/' || y) AS c FROM c{r} JOIN a{r} USING (state_id, vertex))"""
+    return out + f" SELECT state_id, vertex, c AS colour FROM c{rounds}"
+
+
+def _colours(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    c = contents(F.col("edges"))
+    both = F.arrays_zip(F.array_distinct(F.flatten(c)).alias("vertex"), colours(c, rounds).alias("colour"))
+    return tables.states(spark, sf_dir, "FM").select("state_id", F.inline(both).alias("vertex", "colour"))
+
+
+@query(_sql_colours(1))
+def wl_colours_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _colours(spark, sf_dir, 1)
+
+
+@query(_sql_colours(2))
+def wl_colours_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _colours(spark, sf_dir, 2)
+
+
+_CODES = ", ".join(f"'{t}'" for t in tables.EVENT_TYPES)
+_FE = f"""e AS (SELECT user_id AS state_id, edge_id, [src, dst] AS verts FROM (SELECT user_id, row_number() OVER w AS edge_id, list_position([{_CODES}], event_type) - 1 AS src,
+  lead(list_position([{_CODES}], event_type) - 1) OVER w AS dst FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE dst IS NOT NULL)"""
+_FG = """e AS (SELECT 0::BIGINT AS state_id, n_nationkey * 4 + 1 AS edge_id, [n_regionkey * 4, n_nationkey * 4 + 1] AS verts FROM nation
+  UNION ALL SELECT 0, c_custkey * 4 + 2, [c_nationkey * 4 + 1, c_custkey * 4 + 2] FROM customer
+  UNION ALL SELECT 0, o_orderkey * 4 + 3, [o_custkey * 4 + 2, o_orderkey * 4 + 3] FROM orders)"""
+PATH3 = PATTERNS["match_path3"][1]
+
+
+@query(f"WITH {_FE} SELECT state_id, edge_id, verts[1]::BIGINT AS src, verts[2]::BIGINT AS dst FROM e")
+def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One state for each user: from each event's type to the next."""
+    return tables.transitions(spark, sf_dir).select("state_id", "edge_id", F.get("verts", F.lit(0)).alias("src"), F.get("verts", F.lit(1)).alias("dst"))
+
+
+@query(f"WITH {_FE} SELECT e0.state_id, e0.edge_id AS e0, e1.edge_id AS e1 {sql_match(PATH2)}")
+def match_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in states of many edges, by equi-joins."""
+    return match.exploded(tables.transitions(spark, sf_dir), PATH2)
+
+
+@query(f"WITH {_FG} SELECT e0.state_id, e0.edge_id AS e0, e1.edge_id AS e1, e2.edge_id AS e2 {sql_match(PATH3)}")
+def match_large_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of three edges in one state that holds all regions, nations, customers and orders."""
+    return match.exploded(tables.sales_tree(spark, sf_dir), PATH3)
+
+
 # -- matching ----------------------------------------------------------------------------
 
 
@@ -387,6 +443,43 @@ def causal_with_genesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.causal_pairs(_two_steps(spark, sf_dir).causal_with_genesis())
 
 
+@query(SQL_EVOLVE + "SELECT event_id + n AS state_id, event_id AS made_by, x AS src, y AS dst FROM m1, top")
+def produced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that the first step makes, in the states that it makes."""
+    e = evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1)
+    rows = e.states.where("step = 1").select("state_id", F.explode("edges").alias("e")).where("e.creator IS NOT NULL")
+    return rows.select("state_id", F.col("e.creator").alias("made_by"), F.get("e.verts", F.lit(0)).alias("src"), F.get("e.verts", F.lit(1)).alias("dst"))
+
+
+@query(SQL_EVOLVE + "SELECT event_id, s.x AS src, s.y AS dst, count(*) AS edges FROM m1 JOIN s0 s ON s.state_id = input_state AND s.id NOT IN (ca, cb) GROUP BY ALL")
+def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that each event of the first step leaves alone."""
+    e = evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1)
+    rows = e.states.where("step = 1").select(F.col("state_id").alias("output_state"), F.explode("edges").alias("e")).where("e.creator IS NULL")
+    rows = rows.join(e.events.select("event_id", "output_state"), "output_state").select("event_id", F.get("e.verts", F.lit(0)).alias("src"), F.get("e.verts", F.lit(1)).alias("dst"))
+    return rows.groupBy("event_id", "src", "dst").agg(F.count("*").alias("edges"))
+
+
+@query(SQL_EVOLVE + "SELECT x AS src, y AS dst, count(*) AS edges FROM (SELECT x, y FROM s0 UNION ALL SELECT x, y FROM ev) GROUP BY ALL")
+def global_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that ever were, counted by their ends."""
+    rows = _two_steps(spark, sf_dir).global_edges()
+    return rows.groupBy(F.get("verts", F.lit(0)).alias("src"), F.get("verts", F.lit(1)).alias("dst")).agg(F.count("*").alias("edges"))
+
+
+@query(
+    SQL_EVOLVE
+    + """SELECT 0 AS step, 'StateCreated' AS kind, state_id AS subject, -1 AS other FROM (SELECT DISTINCT state_id FROM s0)
+UNION ALL SELECT step, 'StateCreated', event_id + n, input_state FROM ev, top
+UNION ALL SELECT step, 'RewriteApplied', event_id, input_state FROM ev
+UNION ALL SELECT step, 'CausalEdge', consumer, producer FROM causal JOIN ev ON event_id = consumer WHERE producer IS NOT NULL
+UNION ALL SELECT step, 'BranchialEdge', event2, event1 FROM branchial JOIN ev ON event_id = event2"""
+)
+def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that happened in two steps, row by row."""
+    return results.history(_two_steps(spark, sf_dir))
+
+
 @query(SQL_EVOLVE + "SELECT event_id AS creator, x AS src, y AS dst FROM ev")
 def edge_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _two_steps(spark, sf_dir).global_edges().where("creator IS NOT NULL")
@@ -472,6 +565,22 @@ def quotient_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.class_rows.groupBy("depth").agg(F.count("*").alias("classes"))
 
 
+@query(
+    SQL_EVOLVE.replace(sql_edges("F2"), sql_edges("F2S"))
+    + """, p(a, b, c) AS (VALUES (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)),
+named AS (SELECT state_id, a, b, [a, b, c][x + 1] || ',' || [a, b, c][y + 1] AS t FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1), p),
+forms AS (SELECT state_id, a, b, string_agg(t, ';' ORDER BY t) AS f FROM named GROUP BY ALL),
+least AS (SELECT state_id, min(f) AS f FROM forms GROUP BY state_id),
+first AS (SELECT min(state_id) AS state_id FROM least SEMI JOIN s0 USING (state_id) GROUP BY f)
+SELECT first.state_id AS class_id, count(*) AS moves, count(DISTINCT f) AS to_classes FROM first JOIN m1 ON input_state = first.state_id CROSS JOIN top JOIN least ON least.state_id = event_id + n GROUP BY first.state_id"""
+)
+def class_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves out of each class of small orders, and the classes that they lead to."""
+    e = Evolution(spark, rules([PATH2]), Options(), quotient=True).start(tables.roots(spark, sf_dir, "F2S")).step(1)
+    moves = e.transition_parts[0].groupBy(F.col("from_class").alias("form")).agg(F.count("*").alias("moves"), F.count_distinct("to_class").alias("to_classes"))
+    return moves.join(e.class_rows.select("form", F.col("state_id").alias("class_id")), "form").select("class_id", "moves", "to_classes")
+
+
 @query()
 def raw_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw states by depth from the classes' transitions, without making them."""
@@ -572,6 +681,50 @@ def sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.sphere(spark, 12)
 
 
+def _micro(points: DataFrame, *names: str) -> DataFrame:
+    """Places in millionths, as whole numbers."""
+    return points.select("v", *(F.floor(F.col(n) * 1e6 + 0.5).alias(n) for n in names))
+
+
+def _sql_micro(**places: str) -> str:
+    return ", ".join(f"floor(({p}) * 1e6 + 0.5)::BIGINT AS {n}" for n, p in places.items())
+
+
+@query(f"WITH {_CELLS.format(w=24, h=9)} SELECT v, {_sql_micro(x='(i - 1) * 2 * pi() / 24', y='j - 1', px='10 * cos((i - 1) * 2 * pi() / 24)', py='10 * sin((i - 1) * 2 * pi() / 24)', pz='j - 1')} FROM c")
+def cylinder_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micro(coordinates.cylinder(spark, 24, 9), "x", "y", "px", "py", "pz")
+
+
+@query(
+    f"WITH {_CELLS.format(w=17, h=17)}, a AS (SELECT v, (i - 1) * 2 * pi() / 17 AS t, (j - 1) * 2 * pi() / 17 AS r FROM c)"
+    f" SELECT v, {_sql_micro(x='t', y='r', px='(10 + 3 * cos(r)) * cos(t)', py='(10 + 3 * cos(r)) * sin(t)', pz='3 * sin(r)')} FROM a"
+)
+def torus_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micro(coordinates.torus(spark, 17), "x", "y", "px", "py", "pz")
+
+
+@query(
+    "WITH r AS (SELECT k, greatest(1, round_even(24 * sin(pi() * (k - 0.5) / 12), 0))::BIGINT AS n FROM generate_series(1, 12) t(k)),"
+    " a AS (SELECT k, n, unnest(range(1, n + 1)) AS j FROM r), b AS (SELECT row_number() OVER (ORDER BY k, j) AS v, pi() * (k - 0.5) / 12 AS p, 2 * pi() * (j - 1) / n AS t FROM a)"
+    f" SELECT v, {_sql_micro(x='p', y='t', px='10 * sin(p) * cos(t)', py='10 * sin(p) * sin(t)', pz='10 * cos(p)')} FROM b"
+)
+def sphere_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micro(coordinates.sphere(spark, 12), "x", "y", "px", "py", "pz")
+
+
+@query(f"WITH {_CELLS.format(w=15, h=8)} SELECT v, {_sql_micro(x='10 * (i - 1) * 2 * pi() / 15', y='j - 1')} FROM c")
+def klein_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micro(coordinates.klein_bottle(spark, 15, 8), "x", "y")
+
+
+@query(
+    f"WITH {_CELLS.format(w=21, h=5)}, a AS (SELECT v, (i - 1) * 2 * pi() / 21 AS t, (j - 1) / 4.0 - 0.5 AS w FROM c)"
+    f" SELECT v, {_sql_micro(x='10 * t', y='10 * w', px='(10 + w * cos(t / 2)) * cos(t)', py='(10 + w * cos(t / 2)) * sin(t)', pz='w * sin(t / 2)')} FROM a"
+)
+def moebius_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micro(coordinates.moebius_strip(spark, 21), "x", "y", "px", "py", "pz")
+
+
 _POINTS = "p AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101)::DOUBLE AS x, (s_suppkey * 53 % 97)::DOUBLE AS y FROM supplier)"
 
 

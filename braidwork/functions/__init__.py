@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,40 @@ def text(edges: Column) -> Column:
     return F.array_join(F.transform(edges, lambda e: F.array_join(F.transform(e, lambda v: v.cast("string")), ",")), ";")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row, even where body uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def colours(edges: Column, rounds: int) -> Column:
+    """By vertex, in order of first appearance: its colour after some rounds of refinement of edges (arrays of vertices).
+
+    Colour 0 is where a vertex stands, as arity:place; each round takes the digest of a vertex's colour and, by place, the colours in its edges.
+    """
+
+    def by_vertex(e: Column, names: Column, of: Column, say: Callable[[Column, Column, Column], Column]) -> Column:
+        """For each vertex the sorted words that say(edge, its part of `of`, place) gives where it stands."""
+
+        def words(v: Column) -> Column:
+            at = F.zip_with(e, of, lambda one, x: F.transform(F.filter(F.sequence(F.lit(0), F.size(one) - 1), lambda k: F.get(one, k) == v), lambda k: say(one, x, k)))
+            return F.array_join(F.array_sort(F.flatten(at)), " ")
+
+        return F.transform(names, words)
+
+    def again(e: Column, names: Column, last: Column) -> Column:
+        seen = F.transform(e, lambda one: F.array_join(F.transform(one, lambda v: F.get(last, (F.array_position(names, v) - 1).cast("int"))), "|"))
+        around = bound(seen, lambda s: by_vertex(e, names, s, lambda _, x, k: F.concat_ws("@", k, x)))
+        return F.zip_with(last, around, lambda a, b: F.md5(F.concat_ws("/", a, b)))
+
+    def refine(e: Column, names: Column) -> Column:
+        now = by_vertex(e, names, e, lambda one, _, k: F.concat_ws(":", F.size(one), k))
+        for _ in range(rounds):
+            now = bound(now, lambda last: again(e, names, last))
+        return now
+
+    return bound(edges, lambda e: bound(F.array_distinct(F.flatten(e)), lambda names: refine(e, names)))
+
+
 def component_sets(edges: Column) -> Column:
     """Connected components of edges (arrays of vertices), as arrays of vertices; each edge merges the sets that it meets."""
     none = F.array().cast("array<array<bigint>>")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import uniform
 
+#: Events of one slice of a sprinkling, about.
+SLICE = 4096
+
 
 def cells(spark: SparkSession, width: int, height: int) -> DataFrame:
     """i in 1..width, j in 1..height and the vertex v."""
@@ -146,11 +149,12 @@ def without_shortcuts(pairs: DataFrame) -> DataFrame:
 
 
 def sprinkled(spark: SparkSession, n: int, seed: int = 1, extent: float = 1.0) -> DataFrame:
-    """n events (id by order of t, t, x) that depend on the seed alone."""
-    from pyspark.sql import Window
+    """n events (id by order of t, t, x) that depend on the seed alone; numbers come from counts of slices of t."""
+    from braidwork.plans.evolve import numbered
 
-    rows = spark.range(n).select("id", uniform(seed, F.lit("t"), F.col("id")).alias("t"), (uniform(seed, F.lit("x"), F.col("id")) * 2 * extent - extent).alias("x"))
-    return rows.select(F.row_number().over(Window.orderBy("t", "id")).cast("long").alias("id"), "t", "x")  # one task, but all pairs of the rows come next
+    rows = spark.range(n).select(F.col("id").alias("_i"), uniform(seed, F.lit("t"), F.col("id")).alias("t"), (uniform(seed, F.lit("x"), F.col("id")) * 2 * extent - extent).alias("x"))
+    sliced = rows.withColumn("_slice", F.floor(F.col("t") * max(1, n // SLICE)))
+    return numbered(sliced, [F.col("t"), F.col("_i")], 1, "id", "_slice").select("id", "t", "x")
 
 
 def first_links(pairs: DataFrame, most: int) -> DataFrame:

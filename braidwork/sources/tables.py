@@ -17,6 +17,8 @@ FAMILIES = {
 
 
 def verts(family: str) -> Column:
+    if family == "FUB":
+        return F.when(F.col("l_returnflag") == "R", verts("F1")).otherwise(verts("F2"))
     if family == "FM":
         return F.when(F.col("l_linenumber") % 2 == 1, verts("F2")).otherwise(verts("F3"))
     return F.array(*(F.expr(f"CAST({x} AS BIGINT)") for x in FAMILIES[family]))
@@ -41,3 +43,29 @@ def states(spark: SparkSession, sf_dir: str, family: str = "F2", most_edges: int
 def roots(spark: SparkSession, sf_dir: str, family: str = "F2", most_edges: int | None = None) -> DataFrame:
     """root, verts: initial states of an evolution."""
     return states(spark, sf_dir, family, most_edges).select(F.col("state_id").alias("root"), F.transform("edges", lambda e: e["verts"]).alias("verts"))
+
+
+#: Vertices of event types (fixed values).
+EVENT_TYPES = ("error", "click", "view", "signup", "purchase")
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """state_id (a user), edge_id, verts: from each event's type to the type of the user's next event."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    code = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) - 1
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.row_number().over(order).cast("long").alias("edge_id"), code.alias("src"), F.lead(code).over(order).alias("dst"))
+    return rows.where("dst IS NOT NULL").select(F.col("user_id").alias("state_id"), "edge_id", F.array("src", "dst").alias("verts"))
+
+
+def sales_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """state_id (0 for all), edge_id, verts: regions to their nations, nations to customers, customers to orders, as one large state.
+
+    A vertex is its key times four and its level; an edge has the number of its lower vertex.
+    """
+    levels = [("nation", "n_nationkey", "n_regionkey"), ("customer", "c_custkey", "c_nationkey"), ("orders", "o_orderkey", "o_custkey")]
+    out = None
+    for level, (table, key, parent) in enumerate(levels, 1):
+        low, high = F.col(key).cast("long") * 4 + level, F.col(parent).cast("long") * 4 + level - 1
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.lit(0).cast("long").alias("state_id"), low.alias("edge_id"), F.array(high, low).alias("verts"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
