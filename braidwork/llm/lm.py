@@ -7,8 +7,8 @@ within it a word has its smoothed share of the training tokens. So every text's
 is properly normalised over an open vocabulary.
 
 Counts of words and of neighbouring classes come from all training documents. The class
-counts, a square of CLASSES at most, are what the model is trained on: each neighbour pair
-weighs as often as it occurs in the corpus.
+counts, a square of CLASSES at most, are what the model is trained on: each of the PASSES goes
+over all cells, so each neighbour pair weighs as often as it occurs in the corpus.
 """
 
 from __future__ import annotations
@@ -28,15 +28,21 @@ from .common import BATCH_ROWS, fold, mapped, stored, words
 END = b"\n"
 #: Classes with the shared one; words whose counts each task gets; words that a counting task holds before it lets go.
 CLASSES, HEAD, HELD = 1024, 200_000, 300_000
-DIM = 24
+#: Numbers in a vector; passes over all cells of the class counts.
+DIM, PASSES = 24, 400
 
 
 class LogBilinear:
     """log P(class | previous class) from products of vectors."""
 
-    def __init__(self, pairs: np.ndarray, dim: int = DIM, noise: int = 8, steps: int = 400, batch: int = 4096, rate: float = 0.05, seed: int = 0) -> None:
+    def __init__(self, pairs: np.ndarray, dim: int = DIM, noise: int = 8, passes: int = PASSES, rate: float = 0.05, seed: int = 0) -> None:
         """pairs[previous, class]: counts over the training corpus. Noise comes from the classes' own distribution.
 
+        Each pass takes every cell with its whole count, and the noise by its expectation
+        instead of draws, so nothing is sampled and the work doesn't grow with the counts.
+        Steps are Adam's, whose size doesn't shrink with a row's share, so rare classes move
+        too; a normal prior on the vectors weighs as much as one pair.
+
         The biases start at the log of that distribution, the vectors near zero, so training
         starts from the unigram model; normalising constants are taken as one in training, as
         noise-contrastive estimation allows, and computed in full afterwards.
@@ -47,27 +53,20 @@ class LogBilinear:
         share = (pairs.sum(0) + 0.5) / (total + 0.5 * k)
         context, out, bias = rng.normal(0, 0.05, (k, dim)), rng.normal(0, 0.05, (k, dim)), np.log(share)
         if total > 0 and k > 1:
-            flat = np.cumsum(pairs.reshape(-1), dtype=np.float64)
-            cut = np.cumsum(share)
-            state = [np.full_like(x, 1e-3) for x in (context, out, bias)]
-            for step in range(steps):
-                cell = np.searchsorted(flat, rng.random(batch) * total, side="right")
-                before, word = cell // k, cell % k
-                other = np.minimum(np.searchsorted(cut, rng.random((batch, noise)) * cut[-1], side="right"), k - 1)
-                seen = np.concatenate([word[:, None], other], 1)
-                vec, ctx = out[seen], context[before]
-                delta = np.einsum("bnd,bd->bn", vec, ctx) + bias[seen] - np.log(noise * share[seen])
-                err = -1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-                err[:, 0] += 1
-                gc, go = np.einsum("bn,bnd->bd", err, vec), err[..., None] * ctx[:, None]
-                grads = [np.zeros_like(context), np.zeros_like(out), np.bincount(seen.reshape(-1), err.reshape(-1), k)]
-                for d in range(dim):
-                    grads[0][:, d] = np.bincount(before, gc[:, d], k)
-                    grads[1][:, d] = np.bincount(seen.reshape(-1), go[..., d].reshape(-1), k)
-                now = rate * (1 - step / steps)
-                for x, g, s in zip((context, out, bias), grads, state, strict=True):
-                    s += (g / batch) ** 2
-                    x += now * g / batch / np.sqrt(s)
+            data = pairs / total
+            other = noise * data.sum(1)[:, None] * share
+            lift = np.log(noise * share)
+            params = (context, out, bias)
+            mean, square = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
+            for step in range(passes):
+                on = 1 / (1 + np.exp(np.clip(lift - bias - context @ out.T, -30, 30)))
+                pull = data - (data + other) * on
+                grads = (pull @ out - context / total, pull.T @ context - out / total, pull.sum(0))
+                now = rate * (1 - step / passes) * math.sqrt(1 - 0.99 ** (step + 1)) / (1 - 0.9 ** (step + 1))
+                for x, g, m, s in zip(params, grads, mean, square, strict=True):
+                    m += 0.1 * (g - m)
+                    s += 0.01 * (g * g - s)
+                    x += now * m / (np.sqrt(s) + 1e-15)
         logits = context @ out.T + bias
         top = logits.max(1, keepdims=True)
         self.log10 = ((logits - top - np.log(np.exp(logits - top).sum(1, keepdims=True))) / math.log(10)).astype(np.float32)

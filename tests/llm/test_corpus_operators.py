@@ -441,6 +441,18 @@ def test_lm_is_normalised_and_learns(spark):
     assert np.allclose([r.score for r in lm.scores(docs.where("doc_id = 0"), held_out_fold=crc32(b"0") % 5).collect()], [0.0])
 
 
+def test_lm_trains_on_every_cell():
+    pairs = np.zeros((40, 40), np.int64)
+    pairs[:4, :4] = 10**6
+    rare = [(i, 4 + (i + 7) % 36) for i in range(4, 40)]  # a ten-thousandth of all pairs, one follower each
+    for i, j in rare:
+        pairs[i, j] = 1600
+    table = lm.LogBilinear(pairs).log10
+    assert min(10.0 ** table[i, j] for i, j in rare) > 0.5
+    pairs[rare[0][0], 5] += 1600
+    assert 10.0 ** lm.LogBilinear(pairs).log10[rare[0][0], 5] > 0.25
+
+
 def brute_removed(rows, window=35):
     words = {i: split(t) for i, t in rows}
     seen = Counter(tuple(w[k : k + window]) for w in words.values() for k in range(len(w) - window + 1))
