@@ -453,6 +453,25 @@ def test_lm_trains_on_every_cell():
     assert 10.0 ** lm.LogBilinear(pairs).log10[rare[0][0], 5] > 0.25
 
 
+def test_lm_words_outside_the_own_classes_have_vectors(spark):
+    pa = pytest.importorskip("pyarrow")
+    rng = random.Random(2)
+    docs = table(spark, [" ".join(f"l{i} r{i}" for i in rng.choices(range(30), k=20)) for _ in range(400)])
+    held = [r for r in lm.scores(docs, classes=4).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) > 0.4 * sum(r.n_tokens for r in held)  # r follows l, always: 0.74 at most
+
+    counted = pa.table({"word": [b"\n", *(f"{s}{i}".encode() for i in range(30) for s in "lr")], "n": [400, *(10**5 + i for i in range(60))]})
+    head = lm.Head(counted, 4)
+    assert head.own == 3 and head.clusters == 8 and (head.class_of > 0).all()
+    pairs, cells = lm._pairs(docs.select("text"), head)
+    assert pairs.sum() == 400 * 41
+    model, at = lm.Words(cells, pairs, lm.LogBilinear(pairs), head), np.arange(61)
+    for before in range(-1, 61):
+        b = np.full(62, before)
+        logs = model.logs(b, head.class_ids(b), np.append(at, -1), head.class_ids(np.append(at, -1)))
+        assert math.isclose((10**logs).sum(), 1, abs_tol=1e-4)
+
+
 def brute_removed(rows, window=35):
     words = {i: split(t) for i, t in rows}
     seen = Counter(tuple(w[k : k + window]) for w in words.values() for k in range(len(w) - window + 1))
