@@ -360,6 +360,31 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in queries.op6_topk(spark, SF).collect()) == brute_top(table_)
 
 
+def exact_top(rows, every=50, k=5):
+    whole = {i: [math.floor(256 * x) if math.isfinite(256 * x) else int(x) * 256 for x in v] for i, v in rows}
+    out = []
+    for q in sorted(i for i in whole if i % every == 0):
+        scores = sorted((-max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q)
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return out
+
+
+@pytest.mark.parametrize("big", [1e3, 4e6, 1.2e7, 1e12, 1e307])
+def test_top_k_large_components(spark, big):
+    rng = random.Random(3)
+    for rows in (
+        [(i, [rng.uniform(-1, 1) * big * (1 + i % 5) for _ in range(6)]) for i in range(200)],
+        [(i, [big + rng.randrange(3) / 256 for _ in range(6)]) for i in range(200)],  # products that differ past 2**53
+    ):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(tuple(r) for r in topk.top_k(df, buckets=4, block_rows=40).collect()) == exact_top(rows)
+
+
+def test_top_k_has_buckets(spark):
+    table_ = topk.taking_part(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    assert table_.select("length").distinct().count() >= 4 <= topk.BUCKETS
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.codec(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern())
