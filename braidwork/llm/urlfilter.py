@@ -14,12 +14,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, mix, stored
 
 ALLOW, BLOCK = "allow", "block"
+#: Bits of filters that a task holds at once, for each of two lists; a longer list is taken shard by shard.
+MOST_BITS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -64,32 +66,48 @@ def candidates(name: str, where: str, lengths: Sequence[int]) -> list[str]:
     return sorted(found, key=lambda k: (-len(k), k))
 
 
+def hashes(keys: Sequence[str]) -> np.ndarray:
+    """[keys, 2] halves of 128-bit hashes."""
+    import xxhash
+
+    data = b"".join(xxhash.xxh128_digest(k.encode()) for k in keys)
+    return np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, 2)
+
+
 @dataclass
 class Bloom:
+    """A filter over hashes(); its number among the levels makes its own places of them."""
+
     bits: int
-    hashes: int
-    seed: int
+    times: int
+    level: int
     words: np.ndarray = field(repr=False)
 
-    @classmethod
-    def sized(cls, n: int, error: float, seed: int) -> Bloom:
-        n = max(n, 1)
-        bits = max(64, math.ceil(-n * math.log(error) / math.log(2) ** 2 / 64) * 64)
-        return cls(bits, max(1, round(bits / n * math.log(2))), seed, np.zeros(bits // 64, np.uint64))
+    @staticmethod
+    def size(n: int, error: float) -> int:
+        return max(64, math.ceil(-max(n, 1) * math.log(error) / math.log(2) ** 2 / 64) * 64)
 
-    def places(self, key: str) -> list[int]:
-        import xxhash
+    @classmethod
+    def sized(cls, n: int, error: float, level: int) -> Bloom:
+        bits = cls.size(n, error)
+        return cls(bits, max(1, round(bits / max(n, 1) * math.log(2))), level, np.zeros(bits // 64, np.uint64))
 
-        h = xxhash.xxh128_intdigest(key.encode(), seed=self.seed)
-        a, b = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 1
-        return [(a + i * b) % self.bits for i in range(self.hashes)]
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """[keys, times] bits."""
+        with np.errstate(over="ignore"):
+            start, step = mix(h[:, 0], self.level), h[:, 1] | np.uint64(1)
+            return (start[:, None] + np.arange(self.times, dtype=np.uint64) * step[:, None]) % np.uint64(self.bits)
 
-    def add(self, key: str) -> None:
-        for p in self.places(key):
-            self.words[p >> 6] |= np.uint64(1 << (p & 63))
+    def filled(self, h: np.ndarray) -> dict[str, np.ndarray]:
+        """The words that these keys set bits in, and the bits."""
+        p = np.unique(self.places(h).reshape(-1))
+        word, first = np.unique(p >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first) if len(p) else p
+        return {"word": word.astype(np.int64), "bits": bits.view(np.int64)}
 
-    def __contains__(self, key: str) -> bool:
-        return all(int(self.words[p >> 6]) >> (p & 63) & 1 for p in self.places(key))
+    def has(self, h: np.ndarray) -> np.ndarray:
+        p = self.places(h)
+        return ((self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).all(1)
 
 
 @dataclass
@@ -98,92 +116,121 @@ class Cascade:
 
     levels: list[Bloom]
 
-    def __contains__(self, key: str) -> bool:
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out, left = np.full(len(h), bool(len(self.levels) % 2)), np.arange(len(h))
         for i, level in enumerate(self.levels):
-            if key not in level:
-                return bool(i % 2)
-        return bool(len(self.levels) % 2)
-
-
-def _level(keys: DataFrame, like: Bloom) -> Bloom:
-    """Fill a filter from a column of keys: bits are set in the tasks and or-ed by word, so that only the filter comes back."""
+            inside = level.has(h[left])
+            out[left[~inside]] = bool(i % 2)
+            left = left[inside]
+        return out
 
-    def run(batch: dict) -> dict:
-        own: dict[int, int] = {}
-        for key in batch["key"]:
-            for p in like.places(key):
-                own[p >> 6] = own.get(p >> 6, 0) | 1 << (p & 63)
-        return {"word": list(own), "bits": np.array(list(own.values()), np.uint64).view(np.int64)}
+    def __contains__(self, key: str) -> bool:
+        return bool(self.has(hashes([key]))[0])
 
-    rows = mapped(keys, run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    for r in rows:
-        like.words[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
-    return like
 
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return mix(h[:, 1], 77) % np.uint64(shards)
 
-def build(listed: Sequence[str], universe: DataFrame, error: float = 0.5) -> Cascade:
-    """universe: a column key with every key that will be asked for, repeats allowed; listed: a rule list, held by the driver.
 
-    False positives of the odd levels are found in one pass over the universe each; they
-    are gathered as filter bits, never as rows. Even levels' mistakes are listed keys.
-    """
-    listed = sorted(set(listed))
-    if not listed:
-        return Cascade([])
-    size = universe.agg(F.approx_count_distinct("key").alias("n")).first().n
-    levels: list[Bloom] = []
-    inside = listed
-    while True:
-        rate = min(error, len(inside) / max(size, 1)) if not levels else error
-        level = Bloom.sized(len(inside), rate, len(levels))
-        for k in inside:
-            level.add(k)
-        levels.append(level)
-        so_far, known = Cascade(list(levels)), frozenset(listed)
-
-        def mistaken(batch: dict, so_far=so_far, known=known) -> dict:
-            return {"key": [k for k in dict.fromkeys(batch["key"]) if k not in known and k in so_far]}
-
-        wrong = mapped(universe.where(F.col("key").isNotNull()), mistaken, "key string")
-        n = wrong.agg(F.approx_count_distinct("key").alias("n")).first().n
-        if not n:
-            return so_far
-        levels.append(_level(wrong, Bloom.sized(n, error, len(levels))))
-        so_far = Cascade(list(levels))
-        inside = [k for k in listed if k not in so_far]
-        if not inside:
-            return so_far
-
-
-def universe(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Every key that the rules' path lengths make of the pages' urls."""
-    lengths = sorted({len(r.path) for r in rules})
-
-    def run(batch: dict) -> dict:
-        return {"key": list(dict.fromkeys(k for h, p in zip(batch["host"], batch["path"], strict=True) for k in candidates(h, p, lengths)))}
+def shards_for(listed: DataFrame, universe: DataFrame, error: float = 0.5, most_bits: int = MOST_BITS) -> int:
+    """How many cascades keep every filter within most_bits."""
+    n, size = (df.agg(F.approx_count_distinct("key").alias("n")).first().n for df in (listed, universe))
+    return max(1, math.ceil(Bloom.size(n, min(error, n / max(size, 1)) if n else error) / most_bits))
 
-    return mapped(pages.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).distinct(), run, "key string")
 
+def build(listed: DataFrame, universe: DataFrame, error: float = 0.5, shards: int = 1) -> list[Cascade]:
+    """A cascade for each shard of the keys (see shard_of), from tables with a column key; repeats and nulls don't matter.
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    universe holds every key that will be asked for. Both sides are brought together once, each
+    key with whether it is listed. Level by level one side's keys fill a filter, in the
+    tasks, and what the filter mistakes of the other side's is left for the next. Only
+    filter bits come to the driver, never keys.
+    """
+    both = listed.select("key", F.lit(True).alias("listed")).unionByName(universe.select("key", F.lit(False).alias("listed")))
+    keys = stored(both.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("listed").alias("listed")), "keys")
+    out = []
+    for shard in range(shards):
+
+        def passing(batch: dict, shard: int = shard, level: Bloom | None = None) -> dict:
+            h = hashes(batch["key"])
+            keep = shard_of(h, shards) == shard if level is None else level.has(h)
+            return {"key": [k for k, x in zip(batch["key"], keep.tolist(), strict=True) if x]}
+
+        sides = [keys.where("listed").select("key"), keys.where("NOT listed").select("key")]
+        if shards > 1:
+            sides = [stored(mapped(s, passing, "key string"), "shard") for s in sides]
+        counts = [s.count() for s in sides]
+        levels: list[Bloom] = []
+        while counts[0]:
+            now = len(levels) % 2
+            rate = error if levels else min(error, counts[0] / max(sum(counts), 1))
+            level = Bloom.sized(counts[now], rate, len(levels))
+
+            def bits(batch: dict, level: Bloom = level) -> dict:
+                return level.filled(hashes(batch["key"]))
+
+            for r in mapped(sides[now], bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+                level.words[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
+            levels.append(level)
+            other = 1 - now
+            sides[other] = stored(mapped(sides[other], lambda b, f=passing, level=level: f(b, level=level), "key string"), "mistaken")  # noqa: B023
+            counts[other] = sides[other].count()
+            if not counts[other]:
+                break
+        out.append(Cascade(levels))
+    return out
+
+
+def table_of(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    return spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, most_bits: int = MOST_BITS) -> DataFrame:
     """Per page its host, path, the longest rule that fits and the verdict.
 
     pages has page_id and url; other columns are ignored. A null url or one without ://
-    has an empty host and path and fits no rule. A url that fits no rule isn't listed, which
-    this method allows. Of equal keys a block stands. Repeated rows give repeated results.
+    has an empty host and path and fits no rule; a very long one is read whole. A url that fits
+    no rule isn't listed, which this method allows. Of equal keys a block stands. Repeated rows
+    give repeated results, an empty table an empty one.
+
+    rules may be a table (verdict, host, path) of any size: tasks get filters alone, no more
+    than most_bits of them at once. The lengths of the rules' paths come to the driver.
     """
-    verdicts = {r.key: r.verdict for r in sorted(rules, key=lambda r: r.verdict)}
-    lengths = sorted({len(r.path) for r in rules})
-    keys = universe(pages, rules)
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    cascade = build(list(verdicts), keys)
-    blocked = build([k for k, v in verdicts.items() if v == BLOCK], keys)
-
-    def run(batch: dict) -> dict:
-        found = [next((k for k in candidates(h, p, lengths) if k in cascade), None) for h, p in zip(batch["host"], batch["path"], strict=True)]
-        return batch | {"rule": found, "verdict": [BLOCK if k is not None and k in blocked else ALLOW for k in found]}
-
-    return mapped(rows, run, "page_id long, host string, path string, rule string, verdict string")
+    spark = pages.sparkSession
+    given = rules if isinstance(rules, DataFrame) else table_of(spark, rules)
+    lengths = sorted(r.n for r in given.select(F.length("path").alias("n")).distinct().collect())
+    listed = given.select(F.concat("host", "path").alias("key"), (F.col("verdict") == BLOCK).alias("block")).groupBy("key").agg(F.max("block").alias("block"))
+
+    rows = stored(pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), "urls")
+
+    def all_keys(batch: dict) -> dict:
+        return {"key": list(dict.fromkeys(k for h, p in zip(batch["host"], batch["path"], strict=True) for k in candidates(h, p, lengths)))}
+
+    universe = stored(mapped(rows.select("host", "path").distinct(), all_keys, "key string").distinct(), "universe")
+    shards = shards_for(listed, universe, most_bits=most_bits)
+    known = build(listed, universe, shards=shards)
+    blocked = build(listed.where("block"), universe, shards=shards)
+
+    rows = rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(ALLOW))
+    for shard in range(shards):
+
+        def run(batch: dict, shard: int = shard, cascade: Cascade = known[shard], block: Cascade = blocked[shard]) -> dict:
+            each = [candidates(h, p, lengths) for h, p in zip(batch["host"], batch["path"], strict=True)]
+            keys = list(dict.fromkeys(k for c in each for k in c))
+            h = hashes(keys)
+            fits = cascade.has(h) & (shard_of(h, shards) == shard)
+            bad = dict(zip([k for k, x in zip(keys, fits.tolist(), strict=True) if x], block.has(h[fits]).tolist(), strict=True))
+            for i, c in enumerate(each):
+                best = next((k for k in c if k in bad), None)  # the longest comes first
+                old = batch["rule"][i]
+                if best is not None and (old is None or len(best) > len(old)):
+                    batch["rule"][i], batch["verdict"][i] = best, BLOCK if bad[best] else ALLOW
+            return batch
+
+        rows = mapped(rows, run, "page_id long, host string, path string, rule string, verdict string")
+        if shard + 1 < shards:
+            rows = stored(rows, "judged")
+    return rows
 
 
 #: The same judgement in DuckDB's SQL.

@@ -215,9 +215,35 @@ def test_urls(spark):
 
 def test_cascade_is_exact(spark):
     universe = spark.range(20000).selectExpr("concat('k', id) AS key")
-    listed = [f"k{i}" for i in range(0, 20000, 97)] + ["elsewhere"]
-    c = urlfilter.build(listed, universe)
-    assert len(c.levels) > 1 and all((f"k{i}" in c) == (f"k{i}" in set(listed)) for i in range(20000)) and "elsewhere" in c
+    known = {f"k{i}" for i in range(0, 20000, 97)} | {"elsewhere"}
+    listed = spark.createDataFrame([(k,) for k in sorted(known)] * 2 + [(None,)], "key string")
+    (c,) = urlfilter.build(listed, universe)
+    every = [f"k{i}" for i in range(20000)]
+    assert len(c.levels) > 1 and "elsewhere" in c
+    assert c.has(urlfilter.hashes(every)).tolist() == [k in known for k in every]
+    assert sum(level.bits for level in c.levels) < 40 * len(known)  # the filters, not the list, are what tasks get
+    assert not urlfilter.build(listed.limit(0), universe)[0].levels
+    three, h = urlfilter.build(listed, universe, shards=3), urlfilter.hashes(every)
+    at = urlfilter.shard_of(h, 3)
+    assert [bool(three[s].has(h[i : i + 1])[0]) for i, s in enumerate(at.tolist())] == [k in known for k in every]
+
+
+def test_urls_with_many_rules(spark):
+    rng = random.Random(9)
+    rules = [urlfilter.Rule(rng.choice(["allow", "block"]), f"h{i % 90}.org", f"/p{i % 7}/" if i % 3 else "/") for i in range(300)]
+    rules = list({r.key: r for r in rules}.values())
+    urls = [f"http://{'www.' * (i % 2)}h{i % 120}.org/p{i % 11}/x{i}" for i in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1]
+        name, where = rest.split("/", 1)
+        fits = [r for r in rules if (name == r.host or name.endswith("." + r.host)) and ("/" + where).startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.key), default=None)
+        want[i] = (best.key, best.verdict) if best else (None, "allow")
+    for most in (1 << 30, 700):  # one shard, and several
+        got = urlfilter.judge(pages, urlfilter.table_of(spark, rules), most_bits=most).collect()
+        assert {r.page_id: (r.rule, r.verdict) for r in got} == want
 
 
 def test_fingerprints(spark):
