@@ -132,13 +132,13 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return mix(h[:, 1], 77) % np.uint64(shards)
 
 
-def shards_for(listed: DataFrame, universe: DataFrame, error: float = 0.5, most_bits: int = MOST_BITS) -> int:
+def shards_for(listed: DataFrame, universe: DataFrame, error: float = 1 / 32, most_bits: int = MOST_BITS) -> int:
     """How many cascades keep every filter within most_bits."""
     n, size = (df.agg(F.approx_count_distinct("key").alias("n")).first().n for df in (listed, universe))
     return max(1, math.ceil(Bloom.size(n, min(error, n / max(size, 1)) if n else error) / most_bits))
 
 
-def build(listed: DataFrame, universe: DataFrame, error: float = 0.5, shards: int = 1) -> list[Cascade]:
+def build(listed: DataFrame, universe: DataFrame, error: float = 1 / 32, shards: int = 1) -> list[Cascade]:
     """A cascade for each shard of the keys (see shard_of), from tables with a column key; repeats and nulls don't matter.
 
     universe holds every key that will be asked for. Both sides are brought together once, each
@@ -169,7 +169,7 @@ def build(listed: DataFrame, universe: DataFrame, error: float = 0.5, shards: in
             def bits(batch: dict, level: Bloom = level) -> dict:
                 return level.filled(hashes(batch["key"]))
 
-            for r in mapped(sides[now], bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+            for r in mapped(sides[now], bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
                 level.words[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
             levels.append(level)
             other = 1 - now
