@@ -1,94 +1,85 @@
 """Document fingerprints: threshold-scaled sketches of character shingles.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash range. So the
-sketch of a union is the union of the sketches, and the share of one sketch found in another
-estimates containment however unequal the documents are. A text with fewer than FLOOR
-hashes below the threshold keeps its FLOOR smallest, which count as a raised threshold of its
-own; two sketches are compared below the lower of their thresholds.
+A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, of every
+text alike. So the sketch of a union is the union of the sketches, and the share of one sketch
+found in another estimates containment however unequal the documents are. A text is read
+between marks of its beginning and end, so that its outer code points are in as many shingles as
+the inner ones, and a short text has as many shingles as WIDTH at least.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, mix, partitions
+from .common import BATCH_ROWS, M1, mix, partitions, stored
 
-#: Code points of a shingle, the kept fraction (one in SCALE), and the least number of hashes.
-WIDTH, SCALE, FLOOR = 12, 32, 8
-#: Rows that one deal of neighbouring documents holds, about.
-DEAL_ROWS = 2000
+#: Code points of a shingle, and the kept fraction (one in SCALE).
+WIDTH, SCALE = 12, 8
+#: Rows that one deal of neighbouring documents holds, about; deals for each shuffle partition, at most.
+DEAL_ROWS, DEALS_EACH = 2000, 16
 RANGE = 1 << 32
+#: What stands before and after a text: no code point.
+MARK = np.uint64(0x110000)
 
 
-def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
-    """32-bit hashes of all runs of width code points; a shorter text is one run, an empty one none."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if not len(points):
+def points(text: str) -> np.ndarray:
+    """A text's code points between WIDTH - 1 marks on either side; an empty text has none."""
+    inner = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    side = np.full(WIDTH - 1, MARK)
+    return np.concatenate([side, inner, side]) if len(inner) else inner
+
+
+def run_hashes(p: np.ndarray) -> np.ndarray:
+    """32-bit hashes of all runs of WIDTH points."""
+    n = len(p) - WIDTH + 1
+    if n <= 0:
         return np.zeros(0, np.uint32)
-    width = min(width, len(points))
-    n = len(points) - width + 1
     with np.errstate(over="ignore"):
-        total = points[:n].copy()
-        for j in range(1, width):
+        total = p[:n].copy()
+        for j in range(1, WIDTH):
             total *= M1
-            total += points[j : j + n]
+            total += p[j : j + n]
     return (mix(total) >> np.uint64(32)).astype(np.uint32)
 
 
-def sketch(hashes: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> np.ndarray:
-    """The sorted distinct hashes below the threshold, or the floor smallest if those are fewer."""
-    kept = np.unique(hashes[hashes < RANGE // scale])
-    return kept if len(kept) >= floor else np.unique(hashes)[:floor]
-
-
-def threshold(s: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> int:
-    """Below this a sketch holds all the hashes of its text."""
-    if len(s) < floor:
-        return RANGE  # it holds every hash
-    return max(RANGE // scale, int(s[floor - 1]) + 1) if int(s[-1]) >= RANGE // scale else RANGE // scale
+def shingle_hashes(text: str) -> np.ndarray:
+    return run_hashes(points(text))
 
 
-def common(a: np.ndarray, b: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> tuple[int, int, int]:
-    """Of two sketches below both thresholds: hashes in both, in a, in b."""
-    most = min(threshold(a, scale, floor), threshold(b, scale, floor))
-    a, b = a[: np.searchsorted(a, most)], b[: np.searchsorted(b, most)]
-    return len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)
+def sketch(hashes: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The sorted distinct hashes below the threshold."""
+    return np.unique(hashes[hashes < RANGE // scale])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard likeness; two empty texts are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    both, x, y = common(a, b)
-    return both / (x + y - both) if x + y > both else 0.0
+    """Estimated Jaccard likeness; two empty sketches are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has."""
-    both, x, _ = common(a, b)
-    return both / x if x else float(not len(a))
+    """Estimated share of a's shingles that b has; an empty sketch is in every one."""
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 
-def merged(sketches: Iterable[np.ndarray], scale: int = SCALE, floor: int = FLOOR) -> np.ndarray:
+def merged(sketches: Iterable[np.ndarray]) -> np.ndarray:
     """The sketch of all the texts together."""
-    sketches = list(sketches)
-    most = min((threshold(s, scale, floor) for s in sketches), default=RANGE)
-    all_ = np.unique(np.concatenate([np.zeros(0, np.uint32), *sketches]))
-    return sketch(all_[all_ < most], scale, floor)
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *sketches]))
 
 
 def text_of(s: np.ndarray) -> str:
-    return s.astype(">u4").tobytes().hex()
+    return base64.b64encode(s.astype(">u4").tobytes()).decode()
 
 
 def of_text(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint32)
+    return np.frombuffer(base64.b64decode(s), ">u4").astype(np.uint32)
 
 
 def edited(text: str, following: str) -> str:
@@ -99,12 +90,8 @@ def edited(text: str, following: str) -> str:
 
 def _row(doc_id: int | None, text: str, mine: np.ndarray, hashes: np.ndarray, following: str, theirs: np.ndarray) -> tuple:
     changed = edited(text, following)
-    keep = len(text) - len(text) // 4
-    if len(text) >= 2 * WIDTH:  # shingles before the edit stay as they are
-        n = keep - WIDTH + 1
-        new = sketch(np.concatenate([hashes[:n], shingle_hashes(changed[n:])]) if len(changed) - n >= WIDTH else hashes[:n])
-    else:
-        new = sketch(shingle_hashes(changed))
+    keep = len(text) - len(text) // 4  # as many shingles end before the edit
+    new = sketch(np.concatenate([hashes[:keep], run_hashes(points(changed)[keep:])]))
     return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), text_of(mine), text_of(new), likeness(mine, new), likeness(mine, theirs)
 
 
@@ -146,17 +133,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint, its edited text's, and how alike they and the next document's are.
 
     docs has doc_id and text; other columns are ignored. A null text is empty and has an
-    empty fingerprint, like another empty one (1.0) and unlike all else (0.0). Documents are
-    ordered by doc_id and then text, null ids first; the last is followed by the first, a
-    single one by itself. Every row of repeated rows counts. An empty table gives an empty result.
+    empty fingerprint, like another empty one (1.0) and unlike all else (0.0); of a text of few
+    code points no hash may be below the threshold, and then its fingerprint is empty too. Very
+    long texts are read whole. Documents are ordered by doc_id and then text, null ids first;
+    the last is followed by the first, a single one by itself. Every row of repeated rows
+    counts. An empty table gives an empty result.
 
     Documents are dealt by ranges of doc_id, so that texts move once; the last of each deal
-    is followed by the first of the next, and only these borders are brought together.
+    is followed by the first of the next, and only these borders are brought together, by the deals' numbers.
     """
     spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = rows.select(F.count("*").alias("n")).first().n
-    deals = max(1, min(n // DEAL_ROWS, 16 * partitions(spark)))
+    deals = max(1, min(n // DEAL_ROWS, DEALS_EACH * partitions(spark)))
     cuts = [] if deals == 1 else sorted(set(rows.select(F.percentile_approx("doc_id", [i / deals for i in range(1, deals)], 20 * deals).alias("c")).first().c or []))
     # The cuts are values, so a recomputed task deals the rows as before.
     deal = F.lit(0)
@@ -167,11 +158,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     dealt = rows.select(deal.alias("deal"), "doc_id", "text")
     inner = dealt.repartition(max(partitions(spark), 1), "deal").sortWithinPartitions("deal", "doc_id", "text").mapInArrow(_neighbours, SCHEMA)
 
-    ends = dealt.groupBy("deal").agg(F.min(F.struct("doc_id", "text")).alias("first"), F.max(F.struct("doc_id", "text")).alias("last"))
-    order = Window.orderBy("deal")  # a row for each deal
-    whole = Window.orderBy("deal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    linked = ends.select("last.doc_id", "last.text", F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("next"))
-    outer = linked.select("doc_id", "text", F.col("next.text").alias("following")).mapInArrow(_borders, SCHEMA)
+    ends = stored(dealt.groupBy("deal").agg(F.min(F.struct("doc_id", "text")).alias("first"), F.max(F.struct("doc_id", "text")).alias("last")), "ends")
+    used = sorted(r.deal for r in ends.select("deal").collect())  # DEALS_EACH for each partition at most
+    after = spark.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "deal int, next int")
+    following = ends.select(F.col("deal").alias("next"), F.col("first.text").alias("following"))
+    linked = ends.select("deal", "last.doc_id", "last.text").join(after, "deal").join(following, "next")
+    outer = linked.select("doc_id", "text", "following").mapInArrow(_borders, SCHEMA)
     return inner.unionByName(outer)
 
 
