@@ -36,7 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/braidwork-{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{shared_dir(spark)}/braidwork-{uuid.uuid4().hex[:12]}"
+    made = spark.__dict__.setdefault("_braidwork_made", [])
+    made.append(folder)
+    return f"{folder}/{name}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables that the operators wrote for this session; results that weren't read yet are lost."""
+    for folder in spark.__dict__.pop("_braidwork_made", []):
+        delete(spark, folder)
 
 
 def stored(df: DataFrame, name: str = "table", sort: list[str] | None = None) -> DataFrame:
@@ -104,24 +119,40 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class WordHash:
-    """64-bit xxHash of words, remembered in a bounded dict."""
+    """128-bit xxHash of words, remembered in a bounded dict."""
 
     def __init__(self, most: int = 300_000) -> None:
         import xxhash
 
-        self.most, self.seen, self.of = most, {}, xxhash.xxh64_intdigest
+        self.most, self.of = most, xxhash.xxh128_digest
+        self.clear()
 
-    def __call__(self, found: list[bytes]) -> np.ndarray:
-        seen, of = self.seen, self.of
-        if len(seen) > self.most:
-            seen.clear()
-        out = []
+    def clear(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.halves, self.known = np.zeros((1024, 2), np.uint64), 0
+
+    def both(self, found: list[bytes]) -> np.ndarray:
+        """[words, 2] halves of the hashes."""
+        if len(self.seen) > self.most:
+            self.clear()
+        seen, fresh, out = self.seen, [], []
         for w in found:
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = of(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+            i = seen.get(w)
+            if i is None:
+                i = seen[w] = len(seen)
+                fresh.append(w)
+            out.append(i)
+        if fresh:
+            end = self.known + len(fresh)
+            if end > len(self.halves):
+                self.halves = np.concatenate([self.halves, np.zeros((max(end, len(self.halves)), 2), np.uint64)])
+            self.halves[self.known : end] = np.frombuffer(b"".join(map(self.of, fresh)), ">u8").reshape(-1, 2)
+            self.known = end
+        return self.halves[np.array(out, dtype=np.int64)]
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        """The first half alone."""
+        return self.both(found)[:, 0]
 
 
 def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

@@ -9,26 +9,30 @@ every 14 windows, and yet no window that occurs twice escapes it.
 The index is log-structured. Each batch becomes an immutable run, sorted by anchor, that is
 merge-joined with the runs before; runs of one level are compacted into the next.
 Where anchors meet, equal segments settle all their windows at once; windows of
-the others are compared one by one, by 128-bit hashes.
+the others are compared one by one. Words are hashed to 128 bits: the anchor and the first hash of
+a window come from one half, the segment and the window's second hash from the other.
+
+An index can be kept in a folder and opened again: its manifest names the runs of each level.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WordHash, grams, mapped, new_path, partitions, release, signed, steady, stored, words
+from .common import BATCH_ROWS, WordHash, delete, grams, mapped, new_path, partitions, release, signed, steady, stored, words
 
 #: Words of a window and of a gram; batches that a whole table is taken in; runs of a level that are compacted.
-WINDOW, GRAM, BATCHES, FAN = 35, 8, 2, 4
+WINDOW, GRAM, BATCHES, FAN = 35, 8, 4, 4
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -59,38 +63,71 @@ def spans_hash(h: np.ndarray, first: np.ndarray, count: np.ndarray, window: int,
 
 
 class FingerprintIndex:
-    """Immutable runs of (anchor, segment, n, loc), dealt by anchor and sorted, in the shared folder.
+    """Immutable runs of (anchor, segment, n, loc), dealt by anchor and sorted, in a folder that all machines see.
 
     A run is a bucketed table, so that runs are merge-joined on their anchors without moving either.
     """
 
-    def __init__(self, spark, buckets: int | None = None, fan: int = FAN) -> None:  # noqa: ANN001
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fan: int = FAN, folder: str | None = None) -> None:
         self.spark, self.fan, self.buckets = spark, fan, buckets or partitions(spark)
-        self.levels: list[list[DataFrame]] = [[]]
-
-    def _run(self, rows: DataFrame) -> DataFrame:
+        self.folder = folder or new_path(spark, "index")
+        #: Names of the runs by level; each is a folder of its own, and a table of that name.
+        self.levels: list[list[str]] = [[]]
+        self.compactions = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """An index that saved() left in this folder."""
+        kept = json.loads("".join(r.value for r in spark.read.text(f"{folder}/manifest").collect()))
+        out = cls(spark, kept["buckets"], kept["fan"], folder)
+        out.levels, out.compactions = kept["levels"], kept["compactions"]
+        columns = "anchor BIGINT, segment BIGINT, n BIGINT, loc STRUCT<uid: BIGINT, place: BIGINT>"
+        for name in (n for level in out.levels for n in level):
+            dealt = f"CLUSTERED BY (anchor) SORTED BY (anchor, segment) INTO {out.buckets} BUCKETS"
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {dealt} LOCATION '{folder}/{name}'")
+        return out
+
+    def saved(self) -> str:
+        """Write the manifest; the folder is what open() takes."""
+        kept = {"buckets": self.buckets, "fan": self.fan, "levels": self.levels, "compactions": self.compactions}
+        self.spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest")
+        return self.folder
+
+    def drop(self) -> None:
+        """Remove the runs and their tables."""
+        for level in self.levels:
+            self._dropped(level)
+        self.levels = [[]]
+        delete(self.spark, self.folder)
+
+    def _dropped(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, f"{self.folder}/{name}")
+
+    def _run(self, rows: DataFrame) -> str:
         """Written once and never changed."""
         name = f"braidwork_run_{uuid.uuid4().hex[:12]}"
         table = rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor", "segment")
-        table.format("parquet").option("compression", "zstd").option("path", new_path(self.spark, "run")).saveAsTable(name)
+        table.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}").saveAsTable(name)
         release(self.spark)
-        return self.spark.table(name)
+        return name
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [self.spark.table(n) for level in self.levels for n in level]
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Append a batch (anchor, segment, uid, place); returns the anchors of it that the history, or the batch itself, holds elsewhere.
 
         Compacts levels that are full.
         """
-        run = self._run(batch.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("loc")))
-        own = run.groupBy("anchor").agg(F.sum("n").alias("n"))
+        name = self._run(batch.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("loc")))
+        own = self.spark.table(name).groupBy("anchor").agg(F.sum("n").alias("n"))
         met = own.where("n > 1").select("anchor")
         for before in self.runs():
-            met = met.unionByName(own.where("n = 1").select("anchor").join(before.select("anchor").distinct(), "anchor"))
+            met = met.unionByName(own.where("n = 1").select("anchor").join(before.select("anchor"), "anchor", "left_semi"))
         met = stored(met.distinct(), "met")
-        self.levels[0].append(run)
+        self.levels[0].append(name)
         level = 0
         while len(self.levels[level]) >= self.fan:
             self.compact(level)
@@ -98,11 +135,14 @@ class FingerprintIndex:
         return met
 
     def compact(self, level: int) -> None:
-        """Merge a level's runs into one of the next."""
+        """Merge a level's runs into one of the next, and remove them."""
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(self._run(self._summed(self.levels[level])))
+        old = self.levels[level]
+        self.levels[level + 1].append(self._run(self._summed([self.spark.table(n) for n in old])))
         self.levels[level] = []
+        self.compactions += 1
+        self._dropped(old)
 
     @staticmethod
     def _summed(runs: list[DataFrame]) -> DataFrame:
@@ -131,11 +171,11 @@ def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
         for b in batches:
             out = [[], [], [], []]
             for uid, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = hash_of(words(text))
-                anchor, first, count = segments(h, window, gram)
+                h = hash_of.both(words(text))
+                anchor, first, count = segments(h[:, 0], window, gram)
                 if len(anchor):
                     out[0].append(signed(anchor))
-                    out[1].append(signed(spans_hash(h, first, count, window, 0)))
+                    out[1].append(signed(spans_hash(h[:, 1], first, count, window, 0)))
                     out[2].append(np.full(len(first), uid, np.int64))
                     out[3].append(first << COUNT_BITS | count)
             if out[0]:
@@ -152,10 +192,10 @@ def _windows(work: DataFrame, window: int) -> DataFrame:
         for b in batches:
             out = [[], [], [], []]
             for uid, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = hash_of(words(text))
+                h = hash_of.both(words(text))
                 at = np.concatenate([np.arange(f, f + c) for f, c in spans_of(places)])
-                out[0].append(signed(grams(h, window)[at]))
-                out[1].append(signed(grams(h, window, 1)[at]))
+                out[0].append(signed(grams(h[:, 0], window)[at]))
+                out[1].append(signed(grams(h[:, 1], window, 1)[at]))
                 out[2].append(np.full(len(at), uid, np.int64))
                 out[3].append(at)
             if out[0]:
@@ -178,17 +218,17 @@ def covered(n_words: int, spans: list[tuple[int, int]], window: int) -> np.ndarr
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, clean_text: bool = True) -> DataFrame:
-    """docs, in the shared folder, with _places: the windows whose words occur elsewhere, packed (see spans_of), null if none.
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, told: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """row (a struct of docs' columns) and places: the windows whose words occur elsewhere, packed (see spans_of), null if none.
 
-    Any columns of docs but _uid and _places are kept; without clean_text, texts that need no cut become null.
+    told may add columns to (uid, row.*) before rows move, whose texts become null then where they need no cut.
     """
     spark = docs.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     docs = steady(docs)
-    rows = docs.drop("_uid", "_places").withColumn("_uid", F.monotonically_increasing_id())
-    found = stored(_anchors(docs.select(F.monotonically_increasing_id().alias("uid"), "text"), window, gram), "segments")
+    uid = F.monotonically_increasing_id().alias("uid")
+    found = stored(_anchors(docs.select(uid, "text"), window, gram), "segments")
     index = FingerprintIndex(spark)
     met = None
     for b in range(batches):
@@ -198,40 +238,41 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: in
     # Settled: an equal segment exists. To compare: segments without an equal, and the first of the equals that share their anchor.
     settled = F.col("_n") > 1
     compare = ~settled | ((F.col("_odd") > 0) & (F.col("_first.uid") == F.col("uid")) & (F.col("_first.place") == F.col("place")))
-    by_row = hits.where(settled | compare).groupBy(F.col("uid").alias("_uid")).agg(
-        F.collect_list(F.when(settled, F.col("place"))).alias("_settled"), F.collect_list(F.when(compare, F.col("place"))).alias("_compare")
-    )
-    joined = rows.join(by_row, "_uid", "left")
-    if not clean_text:
-        joined = joined.withColumn("text", F.when(F.col("_settled").isNotNull(), F.col("text")))
+    by_row = hits.where(settled | compare).groupBy("uid").agg(F.collect_list(F.when(settled, F.col("place"))).alias("settled"), F.collect_list(F.when(compare, F.col("place"))).alias("compare"))
+    rows = docs.select(uid, F.struct(*docs.columns).alias("row"))
+    joined = (told(rows) if told else rows).join(by_row, "uid", "left")
+    if told:
+        joined = joined.withColumn("row", F.col("row").withField("text", F.when(F.col("settled").isNotNull(), F.col("row.text"))))
     work = stored(joined, "work")
+    index.drop()
 
-    windows = stored(_windows(work.where(F.size("_compare") > 0).select("_uid", "text", "_compare"), window), "windows")
+    windows = stored(_windows(work.where(F.size("compare") > 0).select("uid", "row.text", "compare"), window), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     one = F.shiftleft("first", COUNT_BITS).bitwiseOR(F.lit(1))
-    singles = windows.join(twice, ["h1", "h2"]).groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(one).alias("_single"))
+    singles = windows.join(twice, ["h1", "h2"]).groupBy("uid").agg(F.collect_list(one).alias("single"))
     none = F.array().cast("array<bigint>")
-    places = F.concat(F.coalesce("_settled", none), F.coalesce("_single", none))
-    hit = work.where(F.col("_settled").isNotNull()).join(singles, "_uid", "left").withColumn("_places", places).drop("_settled", "_compare", "_single", "_uid")
-    clean = work.where(F.col("_settled").isNull()).withColumn("_places", F.lit(None).cast("array<bigint>")).drop("_settled", "_compare", "_uid")
+    places = F.concat(F.coalesce("settled", none), F.coalesce("single", none))
+    hit = work.where(F.col("settled").isNotNull()).join(singles, "uid", "left").withColumn("places", places).drop("settled", "compare", "single", "uid")
+    clean = work.where(F.col("settled").isNull()).withColumn("places", F.lit(None).cast("array<bigint>")).drop("settled", "compare", "uid")
     return hit.unionByName(clean)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document doc_id, n_words, n_removed and the digest of the kept words, joined by one space.
 
-    docs has doc_id and text; other columns are ignored. A null text has no words. Words in
-    any window that occurs again, in the same row or another, are removed in all places;
-    repeated rows repeat each other's windows. An empty table gives an empty result.
+    docs has doc_id and text; other columns are ignored. A null text has no words; a very long
+    one is read whole. Words in any window that occurs again, in the same row or another, are
+    removed in all places; repeated rows repeat each other's windows, and rows that share a
+    doc_id are judged each by itself. An empty table gives an empty result.
     """
 
     def whole(batch: dict) -> dict:
-        found = [words(t) for t in batch["text"]]
+        found = [words(r["text"]) for r in batch["row"]]
         return batch | {"n_words": [len(w) for w in found], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w in found]}
 
     def run(batch: dict) -> dict:
         batch["n_removed"] = [0] * len(batch["doc_id"])
-        for i, (text, places) in enumerate(zip(batch["text"], batch["_places"], strict=True)):
+        for i, (text, places) in enumerate(zip(batch["text"], batch["places"], strict=True)):
             if places:
                 found = words(text)
                 drop = covered(len(found), spans_of(places), window)
@@ -239,8 +280,9 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 batch["kept_sha256"][i] = hashlib.sha256(b" ".join([w for w, d in zip(found, drop.tolist(), strict=True) if not d])).hexdigest()
         return batch
 
-    rows = repeats(mapped(docs.select("doc_id", "text"), whole, "doc_id long, text string, n_words long, kept_sha256 string"), window, clean_text=False)
-    return mapped(rows.select("doc_id", "text", "_places", "n_words", "kept_sha256"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kinds = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = repeats(kinds, window, told=lambda x: mapped(x, whole, "uid long, row struct<doc_id:long,text:string>, n_words long, kept_sha256 string"))
+    return mapped(rows.select("row.doc_id", "row.text", "places", "n_words", "kept_sha256"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(text: str, spans: list[tuple[int, int]], window: int) -> str:
@@ -260,20 +302,18 @@ def cut(text: str, spans: list[tuple[int, int]], window: int) -> str:
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages cut from text in all places, and n_chars, if there, brought up to date.
 
-    All columns and rows are kept, texts that are nothing but repeats as empty ones; a null
-    text stays null. See digests() for what counts as a repeat.
+    All columns and rows are kept, whatever their names, texts that are nothing but repeats as
+    empty ones; a null text stays null. See digests() for what counts as a repeat.
     """
-    import pyspark.sql.types as T
-
     rows = repeats(docs, window)
-    names = [c for c in docs.columns if c not in ("_uid", "_places")]
+    schema = docs.schema
+    at = schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.names.index("text")
-            texts = [cut(t, spans_of(x), window) if x and t else t for t, x in zip(b.column(at).to_pylist(), b.column(b.schema.names.index("_places")).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(i) for i, n in enumerate(b.schema.names) if n != "_places"], names=[n for n in b.schema.names if n != "_places"])
+            fields = b.column(0).flatten()
+            fields[at] = pa.array([cut(t, spans_of(x), window) if x and t else t for t, x in zip(fields[at].to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(fields, names=schema.names)
 
-    kept = rows.select(*names, "_places")
-    out = kept.mapInArrow(run, T.StructType([f for f in kept.schema.fields if f.name != "_places"]))
-    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = rows.select("row", "places").mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in schema.names else out

@@ -570,13 +570,55 @@ def test_substrings(spark):
     assert substring.digests(table(spark, texts).limit(0)).count() == 0
 
 
+def batch_of(spark, b):
+    return spark.createDataFrame([(b, 1, b, 1), (b + 1, 2, b, 2)], "anchor long, segment long, uid long, place long")
+
+
 def test_substring_index_compacts(spark):
     index = substring.FingerprintIndex(spark, 2, fan=2)
     for b in range(5):
-        met = index.add(spark.createDataFrame([(b, 1, b, 1), (b + 1, 2, b, 2)], "anchor long, segment long, uid long, place long"))
+        met = index.add(batch_of(spark, b))
         assert {r.anchor for r in met.collect()} == ({b} if b else set())
-    assert [len(x) for x in index.levels] == [1, 0, 1]
+    assert [len(x) for x in index.levels] == [1, 0, 1] and index.compactions == 3
     assert {(r.anchor, r.segment): r.n for run in index.runs() for r in run.collect()} == {(b + k, 1 + k): 1 for b in range(5) for k in (0, 1)}
+    index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("braidwork_run")]
+
+
+def test_substring_index_opens_again(spark):
+    from braidwork.llm.common import new_path
+
+    index = substring.FingerprintIndex(spark, 2, fan=2, folder=new_path(spark, "kept"))
+    for b in range(3):
+        index.add(batch_of(spark, b))
+    folder = index.saved()
+    for name in (n for level in index.levels for n in level):
+        spark.sql(f"DROP TABLE {name}")  # another session knows nothing of them
+    again = substring.FingerprintIndex.open(spark, folder)
+    assert again.levels == index.levels and again.compactions == 1
+    assert {r.anchor for r in again.add(batch_of(spark, 2)).collect()} == {2, 3}
+    rows = again.shared(spark.createDataFrame([(2,), (3,)], "anchor long")).collect()
+    assert {(r.anchor, r.segment): r._n for r in rows} == {(2, 1): 2, (3, 2): 2, (2, 2): 1}
+    again.drop()
+
+
+def test_substring_query_compacts(spark, monkeypatch):
+    made = []
+
+    class Counted(substring.FingerprintIndex):
+        def drop(self):
+            made.append(self.compactions)
+            super().drop()
+
+    monkeypatch.setattr(substring, "FingerprintIndex", Counted)
+    assert queries.op10_substring(spark, SF).count() == len(documents(spark))
+    assert made == [1]
+
+
+def test_substring_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b " * 40, 7, "s", [1], 2)], "doc_id long, text string, _uid int, settled string, places array<int>, _single int")
+    row = substring.removed(docs).first()
+    assert row.asDict() == {"doc_id": 1, "text": "", "_uid": 7, "settled": "s", "places": [1], "_single": 2}
 
 
 def test_substring_cut_keeps_the_rest(spark):
