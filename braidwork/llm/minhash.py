@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WordHash, grams, mix, signed, stored, words
+from .common import BATCH_ROWS, WordHash, grams, mix, signed, steady, stored, words
 
 #: Minima of a band, bands, and minima of which a bit is kept for the first look (64 a long).
 ROWS, BANDS, BITS = 5, 40, 192
-#: Classes of a tile, where classes are compared in blocks.
-TILE = 512
+#: Classes of a tile, where classes are compared in blocks, and parts that a pivot's classes are dealt into.
+TILE, PARTS = 512, 16
+#: The chance that the bits pass over a link at the least similarity.
+MISSED_BY_BITS = 1e-12
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
@@ -62,6 +64,18 @@ class Minima:
         return (bit.reshape(-1, 64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
+def most_apart(similarity: float, bits: int = BITS, missed: float = MISSED_BY_BITS) -> int:
+    """The least d for which more than d of the bits differ, at this similarity, with a chance of `missed` at most.
+
+    A bit differs with probability (1 - similarity) / 2, so the number is binomial.
+    """
+    p = (1 - similarity) / 2
+    over, d = 0.0, bits
+    while d and (over := over + math.comb(bits, d) * p**d * (1 - p) ** (bits - d)) <= missed:
+        d -= 1
+    return d
+
+
 def _classes(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     """Per row: doc_id, k1, k2 (a digest of its shingle set), n_shingles, bands, bits."""
     minima, hash_of = Minima(rows, bands), WordHash()
@@ -176,8 +190,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     100 * intersection >= percent * union. component_id is the smallest doc_id reachable, itself included; kept is whether that
     is its own. Rows of one doc_id are one document; a null id is linked with none. An empty table gives an empty result.
 
-    A link at the least similarity is missed with probability (1 - s**rows)**bands, 1e-10 for
-    85 % and 3e-7 for 80 % by default.
+    A very long text is read whole, and its set is held by one task. A link at the least similarity s
+    is missed with probability (1 - s**rows)**bands by the bands (7e-11 for 85 % by default) and
+    MISSED_BY_BITS by the bits.
     """
     spark = docs.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
@@ -195,10 +210,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     sets = _sets(texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), size)
     sets = stored(small.join(sets.select("node", "k1", "k2", "shingles"), ["node", "k1", "k2"]).select("node", "n", "bits", "shingles"), "sets")
 
-    s = percent / 100
-    agree = (1 + s) / 2
-    # Six deviations below what the least similarity gives.
-    differ = math.ceil(BITS * (1 - agree) + 6 * math.sqrt(BITS * agree * (1 - agree)))
+    differ = most_apart(percent / 100)
 
     def near(a: str, b: str):  # noqa: ANN202
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)  # else they can't be alike enough
@@ -225,7 +237,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     by_root = members.groupBy("pivot", "root").agg(F.count("*").alias("_n"))
     lots_of = by_root.groupBy("pivot").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "root")).alias("_top"))
     plan = lots_of.select("pivot", F.col("_top.root").alias("_common"), F.ceil(F.col("_all") / TILE).alias("_m"), F.ceil((F.col("_all") - F.col("_top._n")) / TILE).alias("_u"))
-    rows_ = members.join(plan, "pivot").join(sets, "node")
+    # A common pivot's classes are dealt into parts, which all get its plan.
+    dealt = plan.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    rows_ = members.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(PARTS))).join(dealt, ["pivot", "_part"]).drop("_part").join(sets, "node")
 
     def tile(c: str, of: str):  # noqa: ANN202
         return F.pmod(F.xxhash64(c), F.col(of))
@@ -250,12 +264,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 
 
 def kept_rows(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 4, bands: int = 50) -> DataFrame:
-    """The rows of docs that stay: of each component the document with the smallest id, once.
+    """The rows of docs that stay: of each component the one with the smallest id, the first of several.
 
-    All columns are kept. Rows with a null id stay, each by itself.
+    Rows are judged one by one, so rows that share an id go only if their texts are alike.
+    All columns are kept, whatever their names. Rows with a null id and texts without words stay.
     """
-    judged = near_duplicates(docs, size, percent, rows, bands)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    null = left.where("doc_id IS NULL")
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(null)
+    docs = steady(docs)
+    uid = F.monotonically_increasing_id().alias("uid")
+    known = docs.select(uid, F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
+    judged = near_duplicates(known.select(F.col("uid").alias("doc_id"), "text"), size, percent, rows, bands)
+    ids = docs.select(uid, F.col("doc_id").alias("id"))
+    least = judged.select(F.col("doc_id").alias("uid"), "component_id").join(ids, "uid").groupBy("component_id").agg(F.min(F.struct("id", "uid")).alias("first"))
+    stay = least.select(F.col("first.uid").alias("uid"))
+    row = docs.select(uid, F.struct(*docs.columns).alias("row"))
+    return row.where("row.doc_id IS NOT NULL").join(stay, "uid", "left_semi").unionByName(row.where("row.doc_id IS NULL")).select("row.*")

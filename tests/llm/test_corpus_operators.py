@@ -120,6 +120,22 @@ def test_minhash_many_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(list(enumerate(texts)), 3, 85)
 
 
+def test_bits_miss_next_to_nothing():
+    for s in (0.8, 0.85):
+        p, d = (1 - s) / 2, minhash.most_apart(s)
+        tail = [sum(math.comb(192, k) * p**k * (1 - p) ** (192 - k) for k in range(x + 1, 193)) for x in (d, d - 1)]
+        assert tail[0] <= minhash.MISSED_BY_BITS < tail[1]
+
+
+def test_kept_rows_are_judged_one_by_one(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, d, 5), (7, d, 6), (None, a, 7), (None, a, 8), (9, "", 9), (8, None, 10), (8, None, 11)]
+    docs = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, n int, _gone int, uid int, row int")
+    got = minhash.kept_rows(docs)
+    assert got.columns == docs.columns and sorted(r.n for r in got.collect()) in ([1, 3, 4, 5, 7, 8, 9, 10, 11], [1, 3, 4, 6, 7, 8, 9, 10, 11])
+    assert minhash.kept_rows(docs.limit(0)).count() == 0 and minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5), (None, 3)]
