@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, fold, mapped, partitions, stored, words
+from .common import BATCH_ROWS, fold, partitions, steady, stored, words
 
 #: The end token: no word, as words hold no white space.
 END = b"\n"
@@ -317,7 +317,8 @@ def scores(docs: DataFrame, held_out_fold: int = 1, classes: int = CLASSES, head
     is the end. Rows whose fold is held_out_fold teach nothing. Tokens, with A-Z
     lower-cased, are words and an end; base_score is the smoothed unigram log10 probability,
     score the model's. Repeated rows teach and score each by itself. An empty table gives an
-    empty result; without training rows both scores of each text are 0.
+    empty result; without training rows both scores of each text are 0. Very long texts are
+    scored whole, and a null id is in the fold of empty text.
 
     The head_words commonest words go to every task with their counts and vectors (bounded
     tables); the other words of a document find their counts by a join.
@@ -325,7 +326,8 @@ def scores(docs: DataFrame, held_out_fold: int = 1, classes: int = CLASSES, head
     spark = docs.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    train = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != held_out_fold)
+    docs = steady(docs.select("doc_id", "text"))
+    train = docs.where(fold(F.col("doc_id")) != held_out_fold)
     counted = stored(_counts(train), "words")
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, types = sums.n, sums.v

@@ -161,7 +161,9 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Instance:
 def encoder(path: str, pattern: str):  # noqa: ANN201
     """Text to ids as the tokenizer file has it, by the quicker of two libraries that share its merges.
 
-    The file's added tokens stand for themselves wherever their strings occur.
+    The quicker one merges by the ids' order. If the file's merges don't come in that order, the
+    library that reads them is taken. The file's added tokens stand for themselves wherever
+    their strings occur.
     """
     import re
 
@@ -169,10 +171,17 @@ def encoder(path: str, pattern: str):  # noqa: ANN201
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    vocab = model["model"]["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+    if made != sorted(made):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     chars = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(c): c for c in chars} | {chr(256 + i): c for i, c in enumerate(sorted(set(range(256)) - set(chars)))}
     added = {t["content"]: t["id"] for t in model["added_tokens"]}
-    ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in added}
     encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
@@ -210,7 +219,7 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end
     """Pack all documents into few sequences: per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     docs has doc_id and text; other columns are ignored. A null or empty text is the end id
-    alone. Documents with one id, repeated rows among them, are packed each by itself. An
+    alone; a very long one is encoded whole by one task and cut. Documents with one id, repeated rows among them, are packed each by itself. An
     empty table gives an empty result. Pieces of one size are alike: ties go by doc_id and piece.
     """
     spark = docs.sparkSession

@@ -142,7 +142,9 @@ def score(docs: DataFrame, labels: DataFrame, **how: object) -> DataFrame:
 
     docs has doc_id and text and keeps its columns (one named quality_score is replaced).
     The network is fitted on the driver from at most 2 * labelled.EACH rows (see sample());
-    labels, source and doc_id are no inputs of it. A null text scores like an empty one.
+    labels, source and doc_id are no inputs of it. In a training step a longer document shows
+    SHOWN of its chunks, drawn anew each time; scores read all of them, of very long texts too.
+    A null text scores like an empty one.
     Repeated rows score alike; without labels of both classes all score 0.5; an empty table
     gives an empty result.
     """

@@ -32,7 +32,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.judged(documents(spark, sf_dir), labels(spark, sf_dir)).drop("spans")
+    return toxicity.judged(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

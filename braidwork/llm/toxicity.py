@@ -24,6 +24,8 @@ TOKEN = re.compile(r"\w+")
 LEAST, LEAST_SHARE, CLEAN_SHARE = 5, 0.015, 0.02
 #: Lengths of the beginnings; tokens of a training segment and of a block; words that a worker remembers.
 PREFIXES, SEGMENT, BLOCK, MOST_WORDS = (4, 5), 64, 64, 300_000
+#: Of a training document's segments without a marked token every so manieth teaches; those with one all do.
+CLEAN_EVERY = 4
 
 
 def features(word: str) -> list[str]:
@@ -167,6 +169,9 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5, rounds: int = 6
     """Ascend the chain's conditional log-likelihood (Adagrad, whole batches), then fit the curve.
 
     prior: the share of toxic documents where scores will be made, as both classes weigh the same here.
+    The chain learns from all segments that hold a marked token and one in CLEAN_EVERY of the others;
+    toxic documents without any marked token (see marking(): rarer words aren't marked) teach it nothing,
+    as nobody knows which of their tokens are toxic. The curve is fitted on whole documents, all of them.
 
     Without documents of both classes all scores are 0.5.
     """
@@ -181,7 +186,7 @@ def fit(texts: list[str], labels: list[int], prior: float = 0.5, rounds: int = 6
         if y and not any(tags):
             continue  # nothing is known of its tokens
         for i in range(0, len(d), SEGMENT):
-            if any(tags[i : i + SEGMENT]) or (i // SEGMENT) % 4 == 0:
+            if any(tags[i : i + SEGMENT]) or (i // SEGMENT) % CLEAN_EVERY == 0:
                 rows.append(d[i : i + SEGMENT])
                 truth.append(tags[i : i + SEGMENT])
     index: dict[str, int] = {}
@@ -238,7 +243,7 @@ def tag(docs: DataFrame, labels: DataFrame, **how: object) -> DataFrame:
 
     docs has doc_id and text; other columns are ignored. The field is fitted on the driver
     from at most 2 * labelled.EACH rows (see sample()); labels, lang, source and doc_id are no
-    inputs of it. A null text is an empty one: no spans, and the score that no toxic token
+    inputs of it. Very long texts are scored whole. A null text is an empty one: no spans, and the score that no toxic token
     gives. Repeated rows score alike; without labels of both classes all score 0.5; an empty
     table gives an empty result.
     """
