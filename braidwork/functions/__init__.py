@@ -92,6 +92,6 @@ def component_sets(edges: Column) -> Column:
 
 
 def uniform(seed: int, *key: Column) -> Column:
-    """A number in [0, 1) that depends on the key and the seed alone."""
-    h = F.xxhash64(F.lit(seed), *key)
-    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) that depends on the key and the seed alone: the first 52 bits of the MD5 digest of both as text, parted by slashes."""
+    said = F.concat_ws("/", F.lit(str(seed)), *(k.cast("string") for k in key))
+    return F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("double") / float(1 << 52)

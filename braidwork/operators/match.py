@@ -67,6 +67,11 @@ def matches(states: DataFrame, rules: list[Rule], id_column: str = "state_id") -
     return out
 
 
+def first_matches(states: DataFrame, rules: list[Rule], most: int, id_column: str = "state_id") -> DataFrame:
+    """No more than `most` matches, the first by state, rule and matched edges."""
+    return matches(states, rules, id_column).orderBy(id_column, "rule", "matched").limit(most)
+
+
 def exploded(edges: DataFrame, rule: Rule) -> DataFrame:
     """state_id and e0.. (edge ids by pattern position) over rows (state_id, edge_id, verts), by equi-joins."""
     out, bound, taken = None, {}, []

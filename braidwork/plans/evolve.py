@@ -8,6 +8,8 @@ event, so an event's causal past lies on one chain and fits a bit mask by depth.
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -43,6 +45,8 @@ class Options:
         for n in ("exploration_probability", "transition_rate"):
             if not 0 <= getattr(self, n) <= 1:
                 raise ValueError(f"{n} must be from 0 to 1")
+        if self.seed == 0:  # a fresh run each time; the seed that was drawn stays here
+            object.__setattr__(self, "seed", 1 + secrets.randbits(62))
 
 
 def initial_states(spark: SparkSession, states: list[list[list[int]]], renumber: bool = True) -> DataFrame:
@@ -187,8 +191,7 @@ class Evolution:
         if self.quotient:
             formed = checkpointed(canonical.with_frame(first.select("state_id", "step", "root", "edges")))
             self.frame_parts = [formed]
-            least = Window.partitionBy("form").orderBy("state_id")
-            self.class_rows = formed.withColumn("_k", F.row_number().over(least)).where("_k = 1").select("form", F.lit(0).alias("depth"), "state_id")
+            self.class_rows = formed.groupBy("form").agg(F.lit(0).alias("depth"), F.min("state_id").alias("state_id"))
             self.levels = {0: first.join(self.class_rows.select("state_id"), "state_id", "left_semi")} if expand else {}
         return self
 
@@ -231,6 +234,8 @@ class Evolution:
         if limits:
             found = found.where(F.col("event_id") < self.n_events + max(0, min(limits)))
         if level > MASK:
+            if found.isEmpty():
+                return  # nothing is left to expand
             raise ValueError(f"more than {MASK} steps")
         rows = checkpointed(_rewritten(found, self.rules, level, self.state0, self.vertex0, self.edge0))
         n = rows.count()
@@ -248,8 +253,8 @@ class Evolution:
             before = self.class_rows
             sources = before.select(F.col("state_id").alias("input_state"), F.col("form").alias("from_class"))
             self.transition_parts.append(events.join(sources, "input_state").join(formed.select(F.col("state_id").alias("output_state"), F.col("form").alias("to_class")), "output_state").select("from_class", "to_class", "rule", "consumed", F.lit(level - 1).alias("depth")))
-            new = formed.join(before.select("form"), "form", "left_anti").withColumn("_k", F.row_number().over(Window.partitionBy("form").orderBy("state_id"))).where("_k = 1")
-            new = checkpointed(new.select("form", F.col("step").alias("depth"), "state_id"))
+            new = formed.join(before.select("form"), "form", "left_anti").groupBy("form").agg(F.min("step").alias("depth"), F.min("state_id").alias("state_id"))
+            new = checkpointed(new)
             self.class_rows = before.unionByName(new)
             frontier = states.join(new.select("state_id"), "state_id", "left_semi")
         held = self.levels.get(level)
@@ -287,8 +292,12 @@ class Evolution:
             return self._all(self.frame_parts).select("state_id", "step", "form")
         return checkpointed(canonical.with_form(self.states.select("state_id", "step", "edges")).select("state_id", "step", "form"))
 
-    def frontier(self) -> DataFrame:
-        return self.frontier_rows.select("state_id", "step").distinct()
+    def frontier(self, state_mode: str = "None") -> DataFrame:
+        """state_id, step of what isn't expanded yet, by canonical ids of the mode."""
+        rows = self.frontier_rows.select("state_id", "step")
+        if state_mode != "None":
+            rows = rows.join(self.canonical_ids(state_mode), "state_id").groupBy(F.col("canonical_id").alias("state_id")).agg(F.min("step").alias("step"))
+        return rows.distinct()
 
     def state_keys(self, mode: str) -> DataFrame:
         """state_id, key: equal keys are one state in this mode."""
@@ -317,6 +326,8 @@ class Evolution:
         """
         if mode == "None":
             return self.events.select("event_id", F.struct("event_id").alias("key"))
+        if mode == "Automatic":
+            return self._automatic_keys()
         keys = EVENT_MODES.get(mode) if isinstance(mode, str) else tuple(mode)
         if not keys or set(keys) - set(EVENT_KEYS):
             raise ValueError(f"event mode must be None, one of {list(EVENT_MODES)} or a list of {list(EVENT_KEYS)}")
@@ -340,7 +351,7 @@ class Evolution:
         return keys.join(keys.groupBy("key").agg(F.min("event_id").alias("canonical_event_id")), "key").select("event_id", "canonical_event_id")
 
     def num_events(self, mode: str | list[str] = "None") -> int:
-        """Events that are different in this mode; see automatic_events() for Automatic."""
+        """Events that are different in this mode; Automatic counts by automatic_events(), which looks at one state of each class."""
         if mode == "Automatic":
             return self.automatic_events().count()
         return self.event_keys(mode).select("key").distinct().count()
@@ -361,6 +372,22 @@ class Evolution:
         both = events.join(out, "output_state").select("input_state", "consumed", text(contents(F.col("edges"))).alias("_t"), F.array_join(mark, ",").alias("_m"))
         return both.withColumn("form", canonical.marked_form("_t", "_m")).select("input_state", "consumed", "form").distinct()
 
+    def _automatic_keys(self) -> DataFrame:
+        """event_id, key: the input's class, the places there of the consumed edges, and the output's form with the produced edges marked in order."""
+        framed = canonical.with_frame(self.states.select("state_id", "edges"))
+        at = F.map_from_arrays(F.transform("edges", lambda e: e["edge_id"]), F.col("ranks"))
+        before = framed.select(F.col("state_id").alias("input_state"), F.col("form").alias("_in"), at.alias("_at"))
+        out = self.states.select(F.col("state_id").alias("output_state"), "edges")
+        mark = F.transform("edges", lambda e: F.array_position("produced", e["edge_id"]).cast("string"))
+        rows = self.events.join(before, "input_state").join(out, "output_state")
+        rows = rows.select("event_id", "_in", F.transform("consumed", lambda e: F.element_at("_at", e)).alias("_used"), text(contents(F.col("edges"))).alias("_t"), F.array_join(mark, ",").alias("_m"))
+        marked = rows.withColumn("_out", canonical.marked_form("_t", "_m"))
+        return marked.select("event_id", F.struct(F.col("_in").alias("InputState"), F.col("_used").alias("ConsumedEdges"), F.col("_out").alias("OutputState")).alias("key"))
+
+    def state_events(self) -> DataFrame:
+        """state_id, events: the events that each state is the input of, in order."""
+        return self.events.groupBy(F.col("input_state").alias("state_id")).agg(F.array_sort(F.collect_list("event_id")).alias("events"))
+
     def genesis(self) -> DataFrame:
         """Events (rule -1, numbered -1 - root) that make the roots out of the empty state -1, in the columns of events."""
         none = F.array().cast("array<bigint>")
@@ -405,6 +432,38 @@ class Evolution:
         w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
         return n.select("step", F.sum("_n").over(w).alias("states"), (F.sum("_n").over(w) - self.n_roots).alias("events"))
 
+    def per_step_table(self, state_mode: str = "Full", event_modes: tuple[str, ...] = ("None", "Automatic", "Full", "Positional")) -> DataFrame:
+        """Cumulative by step: raw and canonical states, events of each mode (events_none ..), causal and branchial pairs of events.
+
+        What is counted by identity counts from the step that it is first seen in; relations from that of the later event.
+        """
+        at = self.events.select("event_id", "step")
+
+        def seen(keys: DataFrame, name: str) -> DataFrame:
+            """keys: key, step."""
+            return keys.groupBy("key").agg(F.min("step").alias("step")).groupBy("step").agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+
+        def counted(rows: DataFrame, name: str) -> DataFrame:
+            return rows.groupBy("step").agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+
+        parts = [
+            counted(self.states, "raw_states"),
+            seen(self.state_keys(state_mode).join(self.states.select("state_id", "step"), "state_id"), "states"),
+            *(seen(self.event_keys(m).join(at, "event_id"), f"events_{m.lower()}") for m in event_modes),
+            counted(relations.causal_pairs(self.causal(reduce=False)).join(at.withColumnRenamed("event_id", "consumer"), "consumer"), "causal"),
+            counted(self.branchial().join(at.withColumnRenamed("event_id", "event2"), "event2"), "branchial"),
+        ]
+        names = ["raw_states", "states", *(f"events_{m.lower()}" for m in event_modes), "causal", "branchial"]
+        steps = self.spark.range(self.steps + 1).select(F.col("id").cast("int").alias("step"))
+        rows = steps.join(self._all(parts).groupBy("step").pivot("name", names).agg(F.first("n")), "step", "left")
+        so_far = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a row for each step
+        return rows.select("step", *(F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(n) for n in names))
+
+    def statistics(self) -> DataFrame:
+        """step, rule, events, consumed and produced edges: what each rule did in each step."""
+        sums = [F.count("*").alias("events"), F.sum(F.size("consumed")).alias("consumed"), F.sum(F.size("produced")).alias("produced")]
+        return self.events.groupBy("step", "rule").agg(*sums)
+
     def raw_counts(self) -> DataFrame:
         """Quotient only: raw states by depth, without making them: instances of a class times its matches."""
         now = checkpointed(self.frame_parts[0].groupBy("form").agg(F.count("*").alias("n")))
@@ -417,41 +476,89 @@ class Evolution:
 
     # -- graphs -------------------------------------------------------------------------
 
-    def graph(self, kind: str, state_mode: str = "None", dedup: bool = True) -> DataFrame:
-        """Edges src_kind, src, dst_kind, dst, type of a graph; see GRAPHS."""
+    def _names(self, state_mode: str, event_mode: str | list[str]) -> Callable[[DataFrame, str, str], DataFrame]:
+        """named(rows, column, kind): the column's numbers are replaced by canonical ones."""
+        ids = {
+            "S": None if state_mode == "None" else self.canonical_ids(state_mode).select(F.col("state_id").alias("_raw"), F.col("canonical_id").alias("_c")),
+            "E": None if event_mode == "None" else self.canonical_events(event_mode, state_mode).select(F.col("event_id").alias("_raw"), F.col("canonical_event_id").alias("_c")),
+        }
+
+        def named(df: DataFrame, column: str, kind: str) -> DataFrame:
+            return df if ids[kind] is None else df.join(ids[kind].withColumnRenamed("_raw", column), column).drop(column).withColumnRenamed("_c", column)
+
+        return named
+
+    def graph(self, kind: str, state_mode: str = "None", event_mode: str | list[str] = "None", branchial_step: int | None = None, dedup: bool = True) -> DataFrame:
+        """Edges src_kind, src, dst_kind, dst, type of a graph; see GRAPHS.
+
+        branchial_step: see branchial_step(); by default the last step in BranchialGraph and all in the others.
+        Causal edges are one for each pair of events; without dedup one for each edge that the pair shares,
+        numbered by a further column edge_index, which is 0 for all others.
+        """
         if kind not in GRAPHS:
             raise ValueError(f"unknown property {kind}")
+        named = self._names(state_mode, event_mode)
         out = None
         for part in GRAPHS[kind]:
-            rows = self._graph_part(part, state_mode)
+            rows = self._graph_part(part, named, branchial_step, dedup)
             out = rows if out is None else out.unionByName(rows)
-        return out.distinct() if dedup and kind != "StatesGraph" else out
-
-    def _graph_part(self, part: str, mode: str) -> DataFrame:
-        ids = self.canonical_ids(mode) if mode != "None" else None
+        return out.drop("edge_index") if dedup else out
 
-        def named(df: DataFrame, column: str) -> DataFrame:
-            if ids is None:
-                return df
-            return df.join(ids.select(F.col("state_id").alias(column), F.col("canonical_id").alias("_c")), column).drop(column).withColumnRenamed("_c", column)
+    def _branchial_states(self, step: int | None) -> DataFrame:
+        """s1, s2: output states of branchial pairs, of the last step unless said."""
+        to = self.events.select("event_id", "output_state")
+        pairs = self.branchial(-1 if step is None else step)
+        rows = pairs.join(to.select(F.col("event_id").alias("event1"), F.col("output_state").alias("s1")), "event1")
+        return rows.join(to.select(F.col("event_id").alias("event2"), F.col("output_state").alias("s2")), "event2").select("s1", "s2")
 
-        def edges(df: DataFrame, kinds: str, src: str, dst: str, type_: str) -> DataFrame:
-            return df.select(F.lit(kinds[0]).alias("src_kind"), F.col(src).alias("src"), F.lit(kinds[1]).alias("dst_kind"), F.col(dst).alias("dst"), F.lit(type_).alias("type"))
+    def _graph_part(self, part: str, named: Callable[[DataFrame, str, str], DataFrame], step: int | None, dedup: bool) -> DataFrame:
+        def edges(df: DataFrame, kinds: str, src: str, dst: str, type_: str, index: str | None = None) -> DataFrame:
+            df = named(named(df, src, kinds[0]), dst, kinds[1])
+            number = F.col(index) if index else F.lit(0)
+            return df.select(F.lit(kinds[0]).alias("src_kind"), F.col(src).alias("src"), F.lit(kinds[1]).alias("dst_kind"), F.col(dst).alias("dst"), F.lit(type_).alias("type"), number.cast("int").alias("edge_index"))
 
         if part == "states":
-            return edges(named(named(self.events.select("input_state", "output_state"), "input_state"), "output_state"), "SS", "input_state", "output_state", "Directed")
+            return edges(self.events.select("input_state", "output_state"), "SS", "input_state", "output_state", "Directed")
         if part == "in":
-            return edges(named(self.events.select("input_state", "event_id"), "input_state"), "SE", "input_state", "event_id", "StateEvent")
+            return edges(self.events.select("input_state", "event_id"), "SE", "input_state", "event_id", "StateEvent")
         if part == "out":
-            return edges(named(self.events.select("event_id", "output_state"), "output_state"), "ES", "event_id", "output_state", "EventState")
+            return edges(self.events.select("event_id", "output_state"), "ES", "event_id", "output_state", "EventState")
         if part == "causal":
-            return edges(self.causal().select("producer", "consumer").distinct(), "EE", "producer", "consumer", "Causal")
+            if dedup:
+                return edges(self.causal().select("producer", "consumer"), "EE", "producer", "consumer", "Causal").distinct()
+            pairs = named(named(self.causal().select("producer", "consumer", "edge_id"), "producer", "E"), "consumer", "E")
+            numbered_ = relations.indexed(pairs, "producer", "consumer", "edge_id")
+            return numbered_.select(*(F.lit("E").alias(n) if n.endswith("kind") else F.col(c).alias(n) for n, c in (("src_kind", ""), ("src", "producer"), ("dst_kind", ""), ("dst", "consumer"))), F.lit("Causal").alias("type"), F.col("edge_index").cast("int"))
         if part == "branchial":
-            return edges(self.branchial(), "EE", "event1", "event2", "Branchial")
-        pairs = self.branchial(-1)
-        to = self.events.select("event_id", "output_state")
-        rows = pairs.join(to.select(F.col("event_id").alias("event1"), F.col("output_state").alias("s1")), "event1").join(to.select(F.col("event_id").alias("event2"), F.col("output_state").alias("s2")), "event2")
-        return edges(named(named(rows.select("s1", "s2"), "s1"), "s2"), "SS", "s1", "s2", "Branchial")
+            return edges(self.branchial(step or 0).select("event1", "event2"), "EE", "event1", "event2", "Branchial")
+        return edges(self._branchial_states(step), "SS", "s1", "s2", "Branchial")
+
+    def graph_vertices(self, kind: str, state_mode: str = "None", event_mode: str | list[str] = "None", branchial_step: int | None = None) -> DataFrame:
+        """Vertices kind, id, raw (the first raw state or event of that id), step, rule, edges of a graph.
+
+        States have edges, as text, and no rule, events a rule and no edges. StatesGraph holds all
+        states, CausalGraph all events, BranchialGraph the ends of its edges, the others the events and their states.
+        """
+        if kind not in GRAPHS:
+            raise ValueError(f"unknown property {kind}")
+        named, parts = self._names(state_mode, event_mode), []
+        if kind != "CausalGraph":
+            rows = self.states.select(F.col("state_id").alias("id"), F.col("state_id").alias("raw"), "step", text(contents(F.col("edges"))).alias("edges"))
+            if kind == "BranchialGraph":
+                ends = self._branchial_states(branchial_step)
+                rows = rows.join(ends.select(F.col("s1").alias("raw")).unionByName(ends.select(F.col("s2").alias("raw"))).distinct(), "raw", "left_semi")
+            elif kind != "StatesGraph":
+                ends = self.events.select(F.col("input_state").alias("raw")).unionByName(self.events.select(F.col("output_state").alias("raw")))
+                rows = rows.join(ends.distinct(), "raw", "left_semi")
+            parts.append(named(rows, "id", "S").select(F.lit("S").alias("kind"), "id", "raw", "step", F.lit(None).cast("int").alias("rule"), "edges"))
+        if kind not in ("StatesGraph", "BranchialGraph"):
+            rows = self.events.select(F.col("event_id").alias("id"), F.col("event_id").alias("raw"), "step", "rule")
+            parts.append(named(rows, "id", "E").select(F.lit("E").alias("kind"), "id", "raw", "step", "rule", F.lit(None).cast("string").alias("edges")))
+        rows = self._all(parts)
+        if state_mode == event_mode == "None":
+            return rows
+        first = rows.groupBy("kind", "id").agg(F.min(F.struct("raw", "step", "rule", "edges")).alias("f"))
+        return first.select("kind", "id", "f.raw", "f.step", "f.rule", "f.edges")
 
 
 #: What events can be told apart by, and named choices of it.

@@ -81,6 +81,7 @@ OPTIONS: dict[str, tuple[str, str, Callable[[object], object]]] = {
     "IncludeCanonicalHashes": ("result", "canonical_hashes", _flag),
     "CanonicalizeStates": ("result", "state_mode", _state_mode),
     "CanonicalizeEvents": ("result", "event_mode", _event_mode),
+    "EdgeDeduplication": ("result", "edge_dedup", _flag),
     "ShowGenesisEvents": ("result", "genesis", _flag),
     "CausalTransitiveReduction": ("result", "reduce", _flag),
     "ExploreFromCanonicalStatesOnly": ("own", "quotient", _flag),
@@ -164,12 +165,17 @@ class Worker:
             self.session = None
             return {"Session": j.session}
         if j.op == "Frontier":
-            return {"Session": j.session, "Frontier": self.session.frontier()}
+            return {"Session": j.session, "Frontier": self.session.frontier((self.opened.result | j.result).get("state_mode", "Full"))}
         if j.op == "Step":
             self.session.step(j.steps, j.only)
         j.result, j.own = self.opened.result | j.result, self.opened.own | j.own
-        branchial_step(j.result.get("branchial_step", 0), self.session.evolution.steps)
-        return {"Session": j.session} | _answer(j, self.session.evolution, self.session.delta if j.delta else None)
+        branchial_step(j.result.get("branchial_step") or 0, self.session.evolution.steps)
+        return {"Session": j.session} | _answer(j, self.session.evolution, self._delta(j.result) if j.delta else None)
+
+    def _delta(self, how: dict) -> Callable[[str], DataFrame]:
+        how = {k: v for k, v in (results.DEFAULTS | how).items() if k in ("state_mode", "event_mode", "branchial_step", "edge_dedup")}
+        how["dedup"] = how.pop("edge_dedup")
+        return lambda kind: self.session.delta(kind, **how)
 
     def _start(self, j: Job) -> Session:
         if not j.rules or not j.init:

@@ -35,7 +35,7 @@ class Rule:
 
     @property
     def order(self) -> list[int]:
-        """In which order the left side's edges are joined: the most constrained first, then whatever shares most variables with what is bound."""
+        """In which order the left side's edges are joined: the most constrained first, then whatever shares most variables with what is bound, of equals the most constrained."""
         if not self.lhs:
             return []
 
@@ -50,7 +50,7 @@ class Rule:
         left.remove(out[0])
         while left:
             bound = {v for i in out for v in self.lhs[i]}
-            out.append(max(left, key=lambda i: (len(bound & set(self.lhs[i])), -i)))
+            out.append(max(left, key=lambda i: (len(bound & set(self.lhs[i])), weight(i), -i)))
             left.remove(out[-1])
         return out
 

@@ -34,20 +34,31 @@ class Session:
         self._live().step(n, only)
         return self
 
-    def frontier(self) -> DataFrame:
-        return self._live().frontier()
-
-    def query(self, kind: str) -> DataFrame:
-        """All edges of a graph, without exploring."""
-        return self._live().graph(kind)
-
-    def delta(self, kind: str) -> DataFrame:
-        """Edges of a graph that no earlier delta of it held; the first holds all."""
-        rows = checkpointed(self.query(kind).distinct())
-        before = self.sent.get(kind)
-        new = rows if before is None else rows.join(before, rows.columns, "left_anti")
-        self.sent[kind] = rows
-        return new
+    def frontier(self, state_mode: str = "None") -> DataFrame:
+        return self._live().frontier(state_mode)
+
+    def query(self, kind: str, **how: object) -> DataFrame:
+        """All edges of a graph, without exploring; how: see Evolution.graph."""
+        return self._live().graph(kind, **how)
+
+    def vertices(self, kind: str, **how: object) -> DataFrame:
+        """All vertices of a graph; how: see Evolution.graph_vertices."""
+        return self._live().graph_vertices(kind, **how)
+
+    def delta(self, kind: str, **how: object) -> DataFrame:
+        """Edges of a graph that no earlier delta of it, asked for in the same way, held; the first holds all."""
+        return self._new(f"{kind} {sorted(how.items())}", self.query(kind, **how))
+
+    def delta_vertices(self, kind: str, **how: object) -> DataFrame:
+        """Vertices of a graph that no earlier delta of them held."""
+        return self._new(f"{kind} vertices {sorted(how.items())}", self.vertices(kind, **how))
+
+    def _new(self, key: str, rows: DataFrame) -> DataFrame:
+        rows = checkpointed(rows.distinct())
+        before = self.sent.get(key)
+        same = None if before is None else [rows[c].eqNullSafe(before[c]) for c in rows.columns]
+        self.sent[key] = rows
+        return rows if before is None else rows.join(before, same, "left_anti")
 
     def close(self) -> None:
         self.open = False

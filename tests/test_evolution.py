@@ -218,3 +218,40 @@ def test_roots_and_emptying(spark):
         assert e.graph(kind).columns == ["src_kind", "src", "dst_kind", "dst", "type"]
     assert e.graph("StatesGraph", "Full").count() == 5
     assert e.global_edges().count() == 3 and e.state_bitvectors().count() == e.states.count()
+
+
+def test_canonical_search_survives_symmetry():
+    import random
+    import time
+
+    rng = random.Random(1)
+    for edges in (
+        [(2 * i, 2 * i + 1) for i in range(1000)],
+        [(i,) for i in range(1100)],
+        [(i, j) for i in range(8) for j in range(8) if i != j],
+        [(i, (i + 1) % 100) for i in range(100)],
+        [(0, i) for i in range(1, 400)],
+        [(a, a ^ 1 << k) for a in range(16) for k in range(4)],
+    ):
+        start = time.time()
+        form = canonical.canonical(edges)[0]
+        assert time.time() - start < 2
+        names = list({v for e in edges for v in e})
+        other = dict(zip(names, rng.sample(names, len(names)), strict=True))
+        assert canonical.canonical(rng.sample([tuple(other[v] for v in e) for e in edges], len(edges)))[0] == form
+
+
+def test_canonical_orbits_by_brute_force():
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    for _ in range(400):
+        n = rng.randint(1, 5)
+        edges = [tuple(rng.randrange(n) for _ in range(rng.choice([1, 2, 2, 3]))) for _ in range(rng.randint(1, 6))]
+        names = sorted({v for e in edges for v in e})
+        maps = [dict(zip(names, p, strict=True)) for p in itertools.permutations(names)]
+        kept = [m for m in maps if sorted(tuple(m[v] for v in e) for e in edges) == sorted(edges)]
+        want = [min(j for m in kept for j, f in enumerate(edges) if tuple(m[v] for v in e) == f) for e in edges]
+        form, label, _, orbit = canonical.canonical(edges)
+        assert orbit == want and form == tuple(sorted(tuple(label[v] for v in e) for e in edges))
