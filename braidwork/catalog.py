@@ -399,7 +399,18 @@ def rule_weight_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve(spark, both, tables.roots(spark, sf_dir), 1, rule_weights=(1.0, 0.0)).events.select("event_id", "input_state")
 
 
-@query()
+#: The first step's matches with their draws: the first 52 bits of a digest of seed, root, state, rule and matched edges.
+_DRAWN = f"""WITH {sql_edges('F2')}, w AS (SELECT max(n) AS w FROM (SELECT count(*) AS n FROM e GROUP BY state_id)),
+m AS (SELECT e0.state_id, e0.state_id * w + e0.edge_id - 1 AS ca, e0.state_id * w + e1.edge_id - 1 AS cb {sql_match(PATH2).replace('FROM ', 'FROM w, ', 1)}),
+u AS (SELECT *, ('0x' || substr(md5('12345/' || state_id || '/' || state_id || '/0/[' || ca || ', ' || cb || ']'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM m)
+"""
+
+
+@query(
+    _DRAWN
+    + """, k AS (SELECT *, max((u < 0.5)::INTEGER) OVER (PARTITION BY state_id) AS kept, row_number() OVER (PARTITION BY state_id ORDER BY u, ca, cb) AS k FROM u)
+SELECT row_number() OVER (ORDER BY state_id, ca, cb) - 1 AS event_id, state_id AS input_state FROM k WHERE u < 0.5 OR (kept = 0 AND k = 1)"""
+)
 def sampled_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the transitions, by a hash of the seed, and at least one of each state that has any."""
     return evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1, transition_rate=0.5, seed=12345).events.select("event_id", "input_state")
@@ -407,14 +418,16 @@ def sampled_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {sql_edges('F2')}, m AS (SELECT e0.state_id, e0.edge_id AS a, e1.edge_id AS b {sql_match(PATH2)})
-SELECT m.state_id AS input_state, count(*) AS survivors FROM m JOIN e ON e.state_id = m.state_id AND e.edge_id NOT IN (a, b) GROUP BY m.state_id"""
+SELECT m.state_id AS input_state, a || ',' || b AS matched, count(e.edge_id) AS survivors FROM m LEFT JOIN e ON e.state_id = m.state_id AND e.edge_id NOT IN (a, b) GROUP BY m.state_id, a, b"""
 )
 def emptying_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule without a right side: what is left of the states."""
-    e = evolve(spark, [rule(PATH2.lhs, [])], tables.roots(spark, sf_dir), 1)
-    left = e.states.where("step = 1").select(F.col("state_id").alias("output_state"), F.size("edges").alias("n"))
-    sums = e.events.join(left, "output_state").groupBy("input_state").agg(F.sum("n").alias("survivors"))
-    return sums.where("survivors > 0")
+    """A rule without a right side: what is left of the states, of emptied ones nothing."""
+    start = tables.roots(spark, sf_dir)
+    e = evolve(spark, [rule(PATH2.lhs, [])], start, 1)
+    width = start.agg(F.max(F.size("verts"))).first()[0]
+    left = e.states.where("step = 1").select(F.col("state_id").alias("output_state"), F.size("edges").cast("long").alias("survivors"))
+    places = F.transform("consumed", lambda c: (c - F.col("input_state") * width + 1).cast("string"))
+    return e.events.join(left, "output_state").select("input_state", F.array_join(places, ",").alias("matched"), "survivors")
 
 
 @query(SQL_EVOLVE + "SELECT input_state AS state_id, count(*) AS matches FROM m2 GROUP BY input_state")
@@ -527,11 +540,15 @@ def events_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.result(_two_steps(spark, sf_dir), "EventsMinimal", state_mode="None")
 
 
-@query(SQL_EVOLVE + "SELECT input_state, least(2, count(*)) AS matches FROM m1 GROUP BY input_state")
+@query(
+    _DRAWN
+    + """, k AS (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY u, ca, cb) AS k FROM u)
+SELECT state_id AS input_state, ca || ',' || cb AS matched FROM k WHERE k <= 2"""
+)
 def k_per_state_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two matches of each state, by a hash of the seed."""
     e = evolve(spark, [PATH2], tables.roots(spark, sf_dir), 1, matches_per_state_rule=2, seed=12345).events
-    return e.groupBy("input_state").agg(F.count("*").alias("matches"))
+    return e.select("input_state", F.array_join(F.col("consumed").cast("array<string>"), ",").alias("matched"))
 
 
 @query(SQL_EVOLVE + "SELECT row_number() OVER (ORDER BY event_id) - 1 + n1.n AS event_id, input_state FROM m2, n1 WHERE input_state % 2 = 0")
@@ -541,6 +558,97 @@ def steered_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.step(only=s.frontier().where("state_id % 2 = 0")).evolution.events.where("step = 2").select("event_id", "input_state")
 
 
+#: {{x,x},{x,y}} -> {{x,y},{y,y}}: a loop moves along an edge.
+LOOP = rule([("x", "x"), ("x", "y")], [("x", "y"), ("y", "y")])
+
+
+def _sql_loops(steps: int) -> str:
+    """Events of LOOP from every order, with the events that made what they consume."""
+    out = f"""WITH {sql_edges('F2')}, top AS (SELECT max(state_id) + 1 AS n FROM e),
+s0 AS (SELECT state_id, edge_id AS id, verts[1] AS x, verts[2] AS y, NULL::BIGINT AS creator FROM e)"""
+    for k in range(1, steps + 1):
+        before = " + ".join(f"(SELECT count(*) FROM m{i})" for i in range(1, k)) or "0"
+        out += f""", m{k} AS (SELECT row_number() OVER (ORDER BY a.state_id, a.id, b.id) - 1 + {before} AS event_id, {k} AS step, a.state_id AS input_state, a.id AS ca, b.id AS cb, b.x, b.y, a.creator AS pa, b.creator AS pb
+  FROM s{k - 1} a JOIN s{k - 1} b ON a.state_id = b.state_id AND a.id <> b.id AND a.x = a.y AND b.x = a.x),
+s{k} AS (SELECT m.event_id + n AS state_id, s.id, s.x, s.y, s.creator FROM m{k} m JOIN s{k - 1} s ON s.state_id = m.input_state AND s.id NOT IN (m.ca, m.cb), top
+  UNION ALL SELECT event_id + n, 1000000000 + event_id * 2, x, y, event_id FROM m{k}, top UNION ALL SELECT event_id + n, 1000000001 + event_id * 2, y, y, event_id FROM m{k}, top)"""
+    every = " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, steps + 1))
+    return out + f""", ev AS ({every}), triples AS (SELECT * FROM (SELECT unnest([pa, pb]) AS producer, event_id AS consumer FROM ev) WHERE producer IS NOT NULL),
+pairs AS (SELECT producer, consumer, count(*) AS shared FROM triples GROUP BY ALL),
+kept AS (SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs a JOIN pairs b ON a.consumer = b.producer WHERE a.producer = p.producer AND b.consumer = p.consumer))
+"""
+
+
+def _loops(spark: SparkSession, sf_dir: str) -> Evolution:
+    return evolve(spark, [LOOP], tables.roots(spark, sf_dir), 3)
+
+
+@query(_sql_loops(3) + "SELECT producer, consumer, kept.producer IS NOT NULL AS kept FROM pairs LEFT JOIN kept USING (producer, consumer)".replace("kept.producer IS NOT NULL", "kept.shared IS NOT NULL"))
+def causal_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causal pairs of three steps, and whether no longer path joins them."""
+    e = _loops(spark, sf_dir)
+    kept = relations.causal_pairs(e.causal()).withColumn("kept", F.lit(True))
+    return relations.causal_pairs(e.causal(reduce=False)).join(kept, ["producer", "consumer"], "left").na.fill({"kept": False})
+
+
+@query(_sql_loops(3) + "SELECT 'E' AS src_kind, producer AS src, 'E' AS dst_kind, consumer AS dst, 'Causal' AS type, unnest(range(shared))::INTEGER AS edge_index FROM kept")
+def causal_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reduced causal graph with an edge for each edge that a pair of events shares."""
+    return results.result(_loops(spark, sf_dir), "CausalGraph", state_mode="None", edge_dedup=False)
+
+
+@query(SQL_EVOLVE + "SELECT 'S' AS src_kind, event1 + n AS src, 'S' AS dst_kind, event2 + n AS dst, 'Branchial' AS type FROM branchial JOIN ev ON event1 = event_id, top WHERE ev.step = 1")
+def branchial_graph_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The branchial graph of the first of two steps."""
+    return results.result(_two_steps(spark, sf_dir), "BranchialGraph", state_mode="None", branchial_step=1)
+
+
+@query(SQL_EVOLVE + "SELECT 'S' AS kind, state_id AS id, step, string_agg(x || ',' || y, ';' ORDER BY id) AS edges FROM st GROUP BY ALL")
+def states_graph_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.result(_two_steps(spark, sf_dir), "StatesGraphVertices", state_mode="None").select("kind", "id", "step", "edges")
+
+
+@query(
+    SQL_EVOLVE
+    + """SELECT 'S' AS kind, state_id AS id, step FROM (SELECT DISTINCT state_id, step FROM st) WHERE state_id IN (SELECT input_state FROM ev UNION SELECT event_id + n FROM ev, top)
+UNION ALL SELECT 'E', event_id, step FROM ev"""
+)
+def evolution_graph_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and the states that they join; states without events have no place in this graph."""
+    return results.result(_two_steps(spark, sf_dir), "EvolutionGraphVertices", state_mode="None").select("kind", "id", "step")
+
+
+@query(SQL_EVOLVE + "SELECT input_state AS state_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS events FROM ev GROUP BY input_state")
+def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events out of each state."""
+    return _two_steps(spark, sf_dir).state_events().select("state_id", F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
+
+
+@query(
+    SQL_EVOLVE
+    + """, sums AS (SELECT step, (SELECT count(*) FROM causal JOIN ev c ON c.event_id = consumer WHERE producer IS NOT NULL AND c.step <= s.step) AS causal,
+(SELECT count(*) FROM branchial JOIN ev b ON b.event_id = event2 WHERE b.step <= s.step) AS branchial, (SELECT count(*) FROM ev WHERE ev.step <= s.step) AS events_none,
+(SELECT count(DISTINCT state_id) FROM st WHERE st.step <= s.step) AS raw_states FROM (VALUES (0), (1), (2)) s(step))
+SELECT step, raw_states, events_none, causal, branchial FROM sums"""
+)
+def per_step_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative states, events, causal and branchial pairs."""
+    return _two_steps(spark, sf_dir).per_step_table("None", ("None",)).drop("states")
+
+
+@query(f"WITH {sql_edges('F2')} SELECT e0.state_id, e0.edge_id || ',' || e1.edge_id AS matched {sql_match(PATH2)} ORDER BY e0.state_id, e0.edge_id, e1.edge_id LIMIT {CAPPED}")
+def match_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matches of all, no more than a limit (the limit is what this operator is)."""
+    found = match.first_matches(tables.states(spark, sf_dir), [PATH2], CAPPED)
+    return found.select("state_id", F.array_join(F.col("matched").cast("array<string>"), ",").alias("matched"))
+
+
+@query(SQL_EVOLVE + ", c AS (SELECT state_id, step, string_agg(x || ',' || y, ';' ORDER BY id) AS t FROM st GROUP BY ALL), i AS (SELECT *, min(state_id) OVER (PARTITION BY t) AS canonical_id FROM c) SELECT canonical_id AS state_id, min(step) AS step FROM i WHERE step = 2 GROUP BY canonical_id")
+def session_frontier_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's frontier by the first state of equal contents."""
+    return Session(spark, [PATH2], tables.roots(spark, sf_dir)).step(2).frontier("Automatic")
+
+
 # -- identity ----------------------------------------------------------------------------
 
 
@@ -558,7 +666,23 @@ def canonical_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.join(least, "form").select("state_id", "canonical_id")
 
 
-@query()
+def _sql_levels(steps: int) -> str:
+    """Classes of states of three vertices by depth: the least form over all numberings, expanded form by form."""
+    forms = "(SELECT {k}, a, b, string_agg([a, b, c][x + 1] || ',' || [a, b, c][y + 1], ';' ORDER BY [a, b, c][x + 1] || ',' || [a, b, c][y + 1]) AS f FROM {t}, p GROUP BY ALL)"
+    out = f"""WITH {sql_edges('F2S')}, p(a, b, c) AS (VALUES (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)),
+s AS (SELECT state_id, verts[1] AS x, verts[2] AS y FROM e),
+c0 AS (SELECT DISTINCT f FROM (SELECT min(f) AS f FROM {forms.format(k='state_id', t='s')} GROUP BY state_id))"""
+    for d in range(steps):
+        known = " UNION ALL ".join(f"SELECT f FROM c{i}" for i in range(d + 1))
+        out += f""", l{d} AS (SELECT f, string_split(f, ';') AS l, unnest(range(1, len(string_split(f, ';')) + 1)) AS i FROM c{d}),
+g{d} AS (SELECT f AS g, i, split_part(l[i], ',', 1)::INTEGER AS x, split_part(l[i], ',', 2)::INTEGER AS y FROM l{d}),
+v{d} AS (SELECT a.g, a.i AS ai, b.i AS bi, a.x, b.y FROM g{d} a JOIN g{d} b ON a.g = b.g AND a.i <> b.i AND a.y = b.x),
+t{d} AS (SELECT v.g, ai, bi, g.x, g.y FROM v{d} v JOIN g{d} g ON g.g = v.g AND g.i NOT IN (ai, bi) UNION ALL SELECT * FROM v{d}),
+c{d + 1} AS (SELECT DISTINCT f FROM (SELECT min(f) AS f FROM {forms.format(k='g, ai, bi', t=f't{d}')} GROUP BY g, ai, bi) WHERE f NOT IN ({known}))"""
+    return out + " " + " UNION ALL ".join(f"SELECT {d} AS depth, count(*) AS classes FROM c{d} HAVING count(*) > 0" for d in range(steps + 1))
+
+
+@query(_sql_levels(3))
 def quotient_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes by depth, each expanded once, from every small order."""
     e = Evolution(spark, rules([PATH2]), Options(), quotient=True).start(tables.roots(spark, sf_dir, "F2S")).step(3)
@@ -581,13 +705,13 @@ def class_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.join(e.class_rows.select("form", F.col("state_id").alias("class_id")), "form").select("class_id", "moves", "to_classes")
 
 
-@query()
-def raw_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw states by depth from the classes' transitions, without making them."""
-    return Evolution(spark, rules([PATH2]), Options(), quotient=True).start([[0, 1], [1, 2], [2, 3], [3, 0], [0, 2]]).step(4).raw_counts()
+_SMALL = SQL_EVOLVE.replace(sql_edges("F2"), sql_edges("F2S"))
 
 
-_SMALL = SQL_EVOLVE.replace(sql_edges("F2"), sql_edges("F2S"))
+@query(_SMALL + "SELECT step AS depth, count(*) AS states FROM (SELECT DISTINCT step, state_id FROM st) GROUP BY step")
+def raw_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw states of small orders by depth from their classes' transitions, without making them."""
+    return Evolution(spark, rules([PATH2]), Options(), quotient=True).start(tables.roots(spark, sf_dir, "F2S")).step(2).raw_counts()
 
 
 @query(

@@ -20,7 +20,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"quotient_levels"}))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     names = sorted(df.columns)

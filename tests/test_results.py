@@ -84,3 +84,28 @@ def test_light_cone(spark, speed, cutoff):
     assert sorted(map(tuple, generators.light_cone(points, speed, cutoff).collect())) == want and want
     odd = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, None, 1.0)], "id long, t double, x double")
     assert generators.light_cone(odd).count() == 0 and generators.light_cone(odd.limit(0)).count() == 0
+
+
+def test_automatic_keys_count_like_automatic_events(spark):
+    for rules, init, steps in TWINS:
+        e = evolve(spark, rules, init, steps)
+        keys = e.event_keys("Automatic")
+        assert keys.count() == e.num_events() and keys.select("key").distinct().count() == e.num_events("Automatic")
+    assert results.result(e, "Events", event_mode="Automatic").count() == e.num_events()
+    table = {r.step: r for r in e.per_step_table().collect()}
+    assert table[3].events_automatic == e.num_events("Automatic") and table[3].states == e.num_states("Full") and table[3].events_full == e.num_events("Full")
+    assert e.statistics().agg({"events": "sum"}).first()[0] == e.num_events()
+
+
+def test_graphs_obey_their_options(spark):
+    e = evolve(spark, *TWINS[0])
+    pairs = {k: e.branchial(k).count() for k in (0, 1, 2, -1)}
+    assert len(set(pairs.values())) > 1
+    for k, n in pairs.items():
+        assert results.result(e, "BranchialGraph", state_mode="None", branchial_step=k).count() == n == results.result(e, "BranchialStateEdges", branchial_step=k).count()
+    assert results.result(e, "BranchialGraph").count() == pairs[-1]
+    full = e.graph_vertices("EvolutionGraph", "Full", "Full")
+    ends = e.graph("EvolutionGraph", "Full", "Full")
+    want = {(r.src_kind, r.src) for r in ends.collect()} | {(r.dst_kind, r.dst) for r in ends.collect()}
+    assert {(r.kind, r.id) for r in full.collect()} == want and full.count() == len(want)
+    assert e.graph("CausalGraph", dedup=False).columns[-1] == "edge_index"
