@@ -86,6 +86,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: one: state_id, edge_id and an edge's vertices by their first appearance in the state, as text.
+_RENUMBERED = """p AS (SELECT state_id, edge_id, k, verts[k] AS v FROM e, (SELECT unnest([1, 2]) AS k)),
+first AS (SELECT state_id, v, min(edge_id * 10 + k) AS f FROM p GROUP BY ALL),
+named AS (SELECT state_id, v, row_number() OVER (PARTITION BY state_id ORDER BY f) - 1 AS name FROM first),
+one AS (SELECT p.state_id, edge_id, string_agg(name::VARCHAR, ',' ORDER BY k) AS t FROM p JOIN named USING (state_id, v) GROUP BY ALL)"""
+
+
 # -- states and edges ------------------------------------------------------------------
 
 
@@ -94,13 +101,7 @@ def ingest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.states(spark, sf_dir, "FM").select("state_id", F.size("edges").cast("long").alias("n_edges"), text(contents(F.col("edges"))).alias("edges"))
 
 
-@query(
-    f"""WITH {sql_edges('F2')}, p AS (SELECT state_id, edge_id, k, verts[k] AS v FROM e, (SELECT unnest([1, 2]) AS k)),
-first AS (SELECT state_id, v, min(edge_id * 10 + k) AS f FROM p GROUP BY ALL),
-named AS (SELECT state_id, v, row_number() OVER (PARTITION BY state_id ORDER BY f) - 1 AS name FROM first),
-one AS (SELECT p.state_id, edge_id, string_agg(name::VARCHAR, ',' ORDER BY k) AS t FROM p JOIN named USING (state_id, v) GROUP BY ALL)
-SELECT state_id, string_agg(t, ';' ORDER BY edge_id) AS edges FROM one GROUP BY state_id"""
-)
+@query(f"WITH {sql_edges('F2')}, {_RENUMBERED} SELECT state_id, string_agg(t, ';' ORDER BY edge_id) AS edges FROM one GROUP BY state_id")
 def renumber_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.states(spark, sf_dir).select("state_id", text(renumbered(contents(F.col("edges")))).alias("edges"))
 
@@ -316,7 +317,7 @@ def content_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL_EVOLVE + "SELECT producer, consumer FROM causal WHERE producer IS NOT NULL")
 def causal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.causal_pairs(_two_steps(spark, sf_dir).causal(reduce=False))
+    return _two_steps(spark, sf_dir).causal_pairs(reduce=False)
 
 
 @query(SQL_EVOLVE + "SELECT event1, event2 FROM branchial")
@@ -399,10 +400,11 @@ def rule_weight_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve(spark, both, tables.roots(spark, sf_dir), 1, rule_weights=(1.0, 0.0)).events.select("event_id", "input_state")
 
 
-#: The first step's matches with their draws: the first 52 bits of a digest of seed, root, state, rule and matched edges.
-_DRAWN = f"""WITH {sql_edges('F2')}, w AS (SELECT max(n) AS w FROM (SELECT count(*) AS n FROM e GROUP BY state_id)),
-m AS (SELECT e0.state_id, e0.state_id * w + e0.edge_id - 1 AS ca, e0.state_id * w + e1.edge_id - 1 AS cb {sql_match(PATH2).replace('FROM ', 'FROM w, ', 1)}),
-u AS (SELECT *, ('0x' || substr(md5('12345/' || state_id || '/' || state_id || '/0/[' || ca || ', ' || cb || ']'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM m)
+#: The first step's matches with their draws: the first 52 bits of a digest of seed, content with renumbered vertices, rule and places of the matched edges.
+_DRAWN = f"""WITH {sql_edges('F2')}, {_RENUMBERED},
+c AS (SELECT state_id, string_agg(t, ';' ORDER BY edge_id) AS content FROM one GROUP BY state_id),
+m AS (SELECT e0.state_id, e0.edge_id AS ca, e1.edge_id AS cb {sql_match(PATH2)}),
+u AS (SELECT *, ('0x' || substr(md5('12345/' || content || '/0/' || ca - 1 || ',' || cb - 1), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM m JOIN c USING (state_id))
 """
 
 
@@ -453,7 +455,7 @@ UNION ALL SELECT -1 - root, event_id FROM ev JOIN origin USING (event_id) WHERE
 )
 def causal_with_genesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reduced causal pairs, with an event that makes each order."""
-    return relations.causal_pairs(_two_steps(spark, sf_dir).causal_with_genesis())
+    return _two_steps(spark, sf_dir).causal_pairs(genesis=True)
 
 
 @query(SQL_EVOLVE + "SELECT event_id + n AS state_id, event_id AS made_by, x AS src, y AS dst FROM m1, top")
@@ -542,8 +544,8 @@ def events_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _DRAWN
-    + """, k AS (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY u, ca, cb) AS k FROM u)
-SELECT state_id AS input_state, ca || ',' || cb AS matched FROM k WHERE k <= 2"""
+    + """, k AS (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY u, ca, cb) AS k FROM u), w AS (SELECT max(n) AS w FROM (SELECT count(*) AS n FROM e GROUP BY state_id))
+SELECT state_id AS input_state, state_id * w + ca - 1 || ',' || state_id * w + cb - 1 AS matched FROM k, w WHERE k <= 2"""
 )
 def k_per_state_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two matches of each state, by a hash of the seed."""
@@ -587,8 +589,8 @@ def _loops(spark: SparkSession, sf_dir: str) -> Evolution:
 def causal_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causal pairs of three steps, and whether no longer path joins them."""
     e = _loops(spark, sf_dir)
-    kept = relations.causal_pairs(e.causal()).withColumn("kept", F.lit(True))
-    return relations.causal_pairs(e.causal(reduce=False)).join(kept, ["producer", "consumer"], "left").na.fill({"kept": False})
+    kept = e.causal_pairs().withColumn("kept", F.lit(True))
+    return e.causal_pairs(reduce=False).join(kept, ["producer", "consumer"], "left").na.fill({"kept": False})
 
 
 @query(_sql_loops(3) + "SELECT 'E' AS src_kind, producer AS src, 'E' AS dst_kind, consumer AS dst, 'Causal' AS type, unnest(range(shared))::INTEGER AS edge_index FROM kept")
@@ -723,7 +725,7 @@ def replayed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events, causal and branchial pairs by step, replayed from one expansion of each class of orders."""
     r = replay(Evolution(spark, rules([PATH2]), Options(), quotient=True).start(tables.roots(spark, sf_dir, "F2S")).step(2))
     step = r.events.select("event_id", "step")
-    caused = relations.causal_pairs(r.causal(reduce=False)).join(step.withColumnRenamed("event_id", "consumer"), "consumer").groupBy("step").agg(F.count("*").alias("causal"))
+    caused = r.causal_pairs(reduce=False).join(step.withColumnRenamed("event_id", "consumer"), "consumer").groupBy("step").agg(F.count("*").alias("causal"))
     forked = r.branchial().join(step.withColumnRenamed("event_id", "event1"), "event1").groupBy("step").agg(F.count("*").alias("branchial"))
     out = step.groupBy("step").agg(F.count("*").alias("events")).join(caused, "step", "left").join(forked, "step", "left")
     return out.na.fill(0, ["causal", "branchial"])

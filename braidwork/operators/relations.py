@@ -40,6 +40,21 @@ def causal_pairs(triples: DataFrame) -> DataFrame:
     return triples.select("producer", "consumer").distinct()
 
 
+def caused(events: DataFrame, reduce: bool = True, genesis: bool = False) -> DataFrame:
+    """(producer, consumer), each pair once, and nothing is shuffled: all causes of an event lie in its row.
+
+    events: event_id, root, consumed, causes. genesis adds what events consume of their root, made by event -1 - root;
+    reduced, an event has that link only where it has no other cause.
+    """
+    causes = F.filter("causes", lambda c: c["kept"]) if reduce else F.col("causes")
+    makers = F.array_distinct(F.transform(causes, lambda c: c["producer"]))
+    if genesis:
+        made = F.transform("causes", lambda c: c["edge_id"])
+        of_root = F.size("causes") == 0 if reduce else F.size(F.array_except("consumed", made)) > 0
+        makers = F.when(of_root, F.concat(F.array(-1 - F.col("root")), makers)).otherwise(makers)
+    return events.select(F.explode(makers).alias("producer"), F.col("event_id").alias("consumer"))
+
+
 def branchial_triples(consumed: DataFrame) -> DataFrame:
     """(event1 < event2, shared_edge): a row for each edge of one input state that both events consume.
 
@@ -50,9 +65,17 @@ def branchial_triples(consumed: DataFrame) -> DataFrame:
     return a.join(b, ["input_state", "edge_id"]).where("event1 < event2").select("event1", "event2", F.col("edge_id").alias("shared_edge"))
 
 
-def branchial_pairs(consumed: DataFrame) -> DataFrame:
-    """One row of branchial_triples for each pair, with the least shared edge."""
-    return branchial_triples(consumed).groupBy("event1", "event2").agg(F.min("shared_edge").alias("shared_edge"))
+def branchial_pairs(events: DataFrame) -> DataFrame:
+    """One row of branchial_triples for each pair, with the least shared edge; a pair is kept where it meets on that edge, so that pairs aren't shuffled.
+
+    events: event_id, input_state, consumed (the edges' ids).
+    """
+    rows = events.select("input_state", "event_id", "consumed", F.explode("consumed").alias("edge_id"))
+    a = rows.select("input_state", "edge_id", F.col("event_id").alias("event1"), F.col("consumed").alias("_c1"))
+    b = rows.select("input_state", "edge_id", F.col("event_id").alias("event2"), F.col("consumed").alias("_c2"))
+    least = F.array_min(F.array_intersect("_c1", "_c2"))
+    met = a.join(b, ["input_state", "edge_id"]).where("event1 < event2").where(F.col("edge_id") == least)
+    return met.select("event1", "event2", F.col("edge_id").alias("shared_edge"))
 
 
 def indexed(triples: DataFrame, src: str, dst: str, edge: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork import rules as R
-from braidwork.functions import EDGE, contents, text, uniform
+from braidwork.functions import EDGE, contents, renumbered, text, uniform
 from braidwork.operators import canonical, match, relations
 from braidwork.operators.relations import checkpointed
 
@@ -87,22 +87,28 @@ def numbered(rows: DataFrame, order: list[Column], first: int, name: str = "even
 
 
 def _found(frontier: DataFrame, rules: list[R.Rule]) -> DataFrame:
-    """Matches of all rules with what rewriting needs."""
-    keep = ["state_id", "root", "edges", "hist"]
+    """Matches of all rules: state_id, root, rule, used, consumed, binding. What else rewriting needs of a state is joined to numbered matches."""
+    keep = ["state_id", "root"]
     parts = []
     for i, r in enumerate(rules):
-        m = match.nested(frontier.select(*keep), r, keep)
-        used = F.array(*(F.col(f"_e{p}") for p in range(len(r.lhs))))
-        parts.append(m.select(*keep, F.lit(i).alias("rule"), used.cast(f"array<{EDGE}>").alias("used"), F.col("_binding").alias("binding")))
+        m = match.nested(frontier.select(*keep, "edges"), r, keep)
+        used = F.array(*(F.struct(*(F.col(f"_e{p}")[c].alias(c) for c in ("edge_id", "creator", "cdepth"))) for p in range(len(r.lhs))))
+        parts.append(m.select(*keep, F.lit(i).alias("rule"), used.alias("used"), F.col("_binding").alias("binding")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("consumed", F.transform("used", lambda e: e["edge_id"]))
 
 
-def _selected(found: DataFrame, rules: list[R.Rule], o: Options, quotient: bool) -> DataFrame:
-    """Transition rate and rule weights with the spine, matches per state and rule, successors per state."""
-    key = [F.col("root"), F.col("state_id"), F.col("rule"), F.col("consumed").cast("string")]
+def _selected(found: DataFrame, keys: DataFrame | None, rules: list[R.Rule], o: Options) -> DataFrame:
+    """Transition rate and rule weights with the spine, matches per state and rule, successors per state.
+
+    keys: what draws go by, see Evolution._draw_keys.
+    """
+    key = [F.col("_key"), F.col("rule"), F.col("_places")]
+    if keys is not None:
+        place = F.transform("consumed", lambda c: F.get("_ranks", F.array_position("_ids", c).cast("int") - 1).cast("string"))
+        found = found.join(keys, "state_id").withColumn("_places", F.array_join(place, ",")).drop("_ids", "_ranks")
     if o.transition_rate < 1 or any(w != 1 for w in o.rule_weights):
         weights = [min(1.0, max(0.0, w)) for w in o.rule_weights] + [1.0] * (len(rules) - len(o.rule_weights))
         rate = F.element_at(F.array(*(F.lit(w) for w in weights[: len(rules)])), F.col("rule") + 1) * o.transition_rate
@@ -118,7 +124,7 @@ def _selected(found: DataFrame, rules: list[R.Rule], o: Options, quotient: bool)
     if o.max_successors is not None:
         w = Window.partitionBy("state_id").orderBy("rule", "consumed")
         found = found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= o.max_successors).drop("_k")
-    return found
+    return found.drop("_key", "_places")
 
 
 def ancestry(rows: DataFrame) -> DataFrame:
@@ -172,6 +178,7 @@ class Evolution:
     options: Options = field(default_factory=Options)
     quotient: bool = False
     steps: int = 0
+    on_depth: Callable[[Evolution, int], None] | None = None  # is called when the states of a depth are expanded
 
     def start(self, init: DataFrame | list, expand: bool = True) -> Evolution:
         """init: lists of edges, a list of such states, or a DataFrame root, verts with distinct roots from 0."""
@@ -185,6 +192,7 @@ class Evolution:
         self.state_parts, self.event_parts = [first], []
         self.levels: dict[int, DataFrame] = {0: first} if expand else {}
         self.n_events = 0
+        self.stopping = self.sealed = False
         self.warnings = R.warnings(self.rules)
         self.class_rows: DataFrame | None = None
         self.transition_parts: list[DataFrame] = []
@@ -204,6 +212,8 @@ class Evolution:
 
         What `only` leaves out stays in the frontier and catches up with the next plain step.
         """
+        if self.sealed:
+            raise RuntimeError("this evolution kept no frontier to go on from")
         if only is not None:
             rows = only.select("state_id") if isinstance(only, DataFrame) else self.spark.createDataFrame([(i,) for i in only], "state_id long")
             wanted = checkpointed(rows.distinct())
@@ -216,19 +226,37 @@ class Evolution:
             return self
         for _ in range(n):
             bound = self.steps + 1
+            if self.stopping:
+                break
             self.steps = bound
             for k in range(min(self.levels, default=bound), bound):
                 if k in self.levels:
                     self._expand(self.levels.pop(k), k)
+                    if self.on_depth:
+                        self.on_depth(self, k)
+        if self.stopping:
+            self.stopping = False
+            self.warnings = [*self.warnings, {"kind": "Stopped", "count": 1, "context": f"stopped after step {self.steps}: results are valid and incomplete"}]
+        return self
+
+    def request_stop(self) -> None:
+        """End a running step(n) at the next step's border, as from on_depth or another thread. What is there stays valid, a warning says so, and a later step goes on."""
+        self.stopping = True
+
+    def seal(self) -> Evolution:
+        """Give up the frontier; stepping raises from here on."""
+        self.levels, self.sealed = {}, True
         return self
 
     def _expand(self, frontier: DataFrame, depth: int) -> None:
         """Expand states of one depth; their outputs join the frontier one deeper."""
         o = self.options
         level = depth + 1
+        keys = self._draw_keys(frontier)
         if o.exploration_probability < 1:
-            frontier = frontier.where(uniform(o.seed, F.lit("explore"), F.col("state_id")) < o.exploration_probability)
-        found = _selected(_found(frontier, self.rules), self.rules, o, self.quotient)
+            kept = keys.where(uniform(o.seed, F.lit("explore"), F.col("_key")) < o.exploration_probability)
+            frontier = frontier.join(kept.select("state_id"), "state_id", "left_semi")
+        found = _selected(_found(frontier, self.rules), keys, self.rules, o)
         found = numbered(found, [F.col("rule"), F.col("consumed")], self.n_events)
         limits = [x for x in (o.max_states_per_step, None if o.max_events is None else o.max_events - self.n_events, None if o.max_states is None else o.max_states - self.n_roots - self.n_events) if x is not None]
         if limits:
@@ -237,6 +265,7 @@ class Evolution:
             if found.isEmpty():
                 return  # nothing is left to expand
             raise ValueError(f"more than {MASK} steps")
+        found = found.join(frontier.select("state_id", "edges", "hist"), "state_id")
         rows = checkpointed(_rewritten(found, self.rules, level, self.state0, self.vertex0, self.edge0))
         n = rows.count()
         self.steps = max(self.steps, level)
@@ -262,6 +291,22 @@ class Evolution:
         for c in ("states", "events", "consumed", "formed"):
             self.__dict__.pop(c, None)
 
+    def _draw_keys(self, frontier: DataFrame) -> DataFrame | None:
+        """state_id, _key, _ids, _ranks, if anything is drawn: draws go by a state's key, the rule and the ranks of the consumed edges.
+
+        They don't depend on how states are numbered. The key of a quotient's state is its class's form, with places in it as ranks; else its
+        content with vertices in order of their first appearance, with places in the state as ranks.
+        """
+        o = self.options
+        if o.exploration_probability == o.transition_rate == 1 and o.matches_per_state_rule is None and all(w == 1 for w in o.rule_weights):
+            return None
+        ids = F.transform("edges", lambda e: e["edge_id"]).alias("_ids")
+        if self.quotient:
+            frames = self._all(self.frame_parts).join(frontier.select("state_id"), "state_id", "left_semi")
+            return frames.select("state_id", F.col("form").alias("_key"), ids, F.col("ranks").cast("array<int>").alias("_ranks"))
+        ranks = F.transform("edges", lambda _, i: i).alias("_ranks")
+        return frontier.select("state_id", text(renumbered(contents(F.col("edges")))).alias("_key"), ids, ranks)
+
     # -- results ------------------------------------------------------------------------
 
     @staticmethod
@@ -412,12 +457,15 @@ class Evolution:
         rows = self.events.select(F.col("event_id").alias("consumer"), F.explode("causes").alias("c")).select("c.producer", "consumer", "c.edge_id", "c.kept")
         return (rows.where("kept") if reduce else rows).drop("kept")
 
+    def causal_pairs(self, reduce: bool = True, genesis: bool = False) -> DataFrame:
+        """producer, consumer: the pairs of causal() or causal_with_genesis(), each once."""
+        return relations.caused(self.events, reduce, genesis)
+
     def branchial(self, step: int = 0) -> DataFrame:
         at = relations.branchial_step(step, self.steps)
         if not R.can_branch(self.rules):
             return self.spark.createDataFrame([], "event1 long, event2 long, shared_edge long")
-        rows = self.consumed if at is None else self.consumed.where(F.col("step") == at)
-        return relations.branchial_pairs(rows)
+        return relations.branchial_pairs(self.events if at is None else self.events.where(F.col("step") == at))
 
     def global_edges(self) -> DataFrame:
         """Every edge that ever was, once."""
@@ -450,7 +498,7 @@ class Evolution:
             counted(self.states, "raw_states"),
             seen(self.state_keys(state_mode).join(self.states.select("state_id", "step"), "state_id"), "states"),
             *(seen(self.event_keys(m).join(at, "event_id"), f"events_{m.lower()}") for m in event_modes),
-            counted(relations.causal_pairs(self.causal(reduce=False)).join(at.withColumnRenamed("event_id", "consumer"), "consumer"), "causal"),
+            counted(self.causal_pairs(reduce=False).join(at.withColumnRenamed("event_id", "consumer"), "consumer"), "causal"),
             counted(self.branchial().join(at.withColumnRenamed("event_id", "event2"), "event2"), "branchial"),
         ]
         names = ["raw_states", "states", *(f"events_{m.lower()}" for m in event_modes), "causal", "branchial"]
@@ -500,7 +548,7 @@ class Evolution:
         named = self._names(state_mode, event_mode)
         out = None
         for part in GRAPHS[kind]:
-            rows = self._graph_part(part, named, branchial_step, dedup)
+            rows = self._graph_part(part, named, branchial_step, dedup, event_mode == "None")
             out = rows if out is None else out.unionByName(rows)
         return out.drop("edge_index") if dedup else out
 
@@ -511,7 +559,7 @@ class Evolution:
         rows = pairs.join(to.select(F.col("event_id").alias("event1"), F.col("output_state").alias("s1")), "event1")
         return rows.join(to.select(F.col("event_id").alias("event2"), F.col("output_state").alias("s2")), "event2").select("s1", "s2")
 
-    def _graph_part(self, part: str, named: Callable[[DataFrame, str, str], DataFrame], step: int | None, dedup: bool) -> DataFrame:
+    def _graph_part(self, part: str, named: Callable[[DataFrame, str, str], DataFrame], step: int | None, dedup: bool, raw_events: bool) -> DataFrame:
         def edges(df: DataFrame, kinds: str, src: str, dst: str, type_: str, index: str | None = None) -> DataFrame:
             df = named(named(df, src, kinds[0]), dst, kinds[1])
             number = F.col(index) if index else F.lit(0)
@@ -525,7 +573,8 @@ class Evolution:
             return edges(self.events.select("event_id", "output_state"), "ES", "event_id", "output_state", "EventState")
         if part == "causal":
             if dedup:
-                return edges(self.causal().select("producer", "consumer"), "EE", "producer", "consumer", "Causal").distinct()
+                pairs = edges(self.causal_pairs(), "EE", "producer", "consumer", "Causal")
+                return pairs if raw_events else pairs.distinct()
             pairs = named(named(self.causal().select("producer", "consumer", "edge_id"), "producer", "E"), "consumer", "E")
             numbered_ = relations.indexed(pairs, "producer", "consumer", "edge_id")
             return numbered_.select(*(F.lit("E").alias(n) if n.endswith("kind") else F.col(c).alias(n) for n, c in (("src_kind", ""), ("src", "producer"), ("dst_kind", ""), ("dst", "consumer"))), F.lit("Causal").alias("type"), F.col("edge_index").cast("int"))

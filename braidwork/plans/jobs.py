@@ -180,4 +180,8 @@ class Worker:
     def _start(self, j: Job) -> Session:
         if not j.rules or not j.init:
             raise ValueError("a job needs rules and an initial state")
-        return Session(self.spark, j.rules, j.init, bool(j.own.get("quotient")), **j.evolve)
+        quotient = bool(j.own.get("quotient"))
+        if quotient and j.result.get("event_mode") == "Positional":
+            quotient = False
+            j.warnings.append({"kind": "QuotientDisabled", "count": 1, "context": "Positional event identity needs raw states, which a quotient doesn't make"})
+        return Session(self.spark, j.rules, j.init, quotient, **j.evolve)

@@ -58,10 +58,13 @@ class Replay:
         rows = self.events.select(F.col("event_id").alias("consumer"), F.explode("causes").alias("c")).select("c.producer", "consumer", "c.edge_id", "c.kept")
         return (rows.where("kept") if reduce else rows).drop("kept")
 
+    def causal_pairs(self, reduce: bool = True, genesis: bool = False) -> DataFrame:
+        return relations.caused(self.events, reduce, genesis)
+
     def branchial(self, step: int = 0) -> DataFrame:
         at = relations.branchial_step(step, self.steps)
         rows = self.events if at is None else self.events.where(F.col("step") == at)
-        return relations.branchial_pairs(rows.select("event_id", "input_state", F.explode("consumed").alias("edge_id")))
+        return relations.branchial_pairs(rows)
 
 
 def replay(e: Evolution) -> Replay:

@@ -64,3 +64,10 @@ def test_sprinkling_is_dense(spark):
     rows = sorted(generators.sprinkled(spark, 9000, seed=2).collect())
     assert [r.id for r in rows] == list(range(1, 9001))
     assert [r.t for r in rows] == sorted(r.t for r in rows)
+
+
+def test_positional_needs_raw_states(spark):
+    job = {"InitialEdges": [[0, 1], [1, 2]], "Rules": {"r": [[[0, 1], [1, 2]], [[0, 2]]]}, "Steps": 1}
+    job["Options"] = {"ExploreFromCanonicalStatesOnly": True, "CanonicalizeEvents": "Positional", "RequestedData": ["NumEvents"]}
+    out = Worker(spark).run(job)
+    assert out["NumEvents"] == 1 and [w["kind"] for w in out["Warnings"]] == ["QuotientDisabled"]

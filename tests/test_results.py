@@ -109,3 +109,61 @@ def test_graphs_obey_their_options(spark):
     want = {(r.src_kind, r.src) for r in ends.collect()} | {(r.dst_kind, r.dst) for r in ends.collect()}
     assert {(r.kind, r.id) for r in full.collect()} == want and full.count() == len(want)
     assert e.graph("CausalGraph", dedup=False).columns[-1] == "edge_index"
+
+
+def test_draws_dont_depend_on_numbers(spark):
+    """States of equal content draw alike wherever they stand, whole or as quotient; another seed draws otherwise."""
+    one = [[0, 1], [1, 2], [2, 3], [3, 0], [0, 2]]
+    path = [([(0, 1), (1, 2)], [(0, 2)])]
+    drawn = {}
+    for seed in (5, 6):
+        e = evolve(spark, path, [[[7, 7]], one, [[3, 3], [3, 3]], one], 1, transition_rate=0.5, seed=seed)
+        rows = [(r.root, [x - r.root * 5 for x in r.consumed]) for r in e.events.collect()]
+        drawn[seed] = sorted(c for root, c in rows if root == 1)
+        assert drawn[seed] and drawn[seed] == sorted(c for root, c in rows if root == 3)
+    assert drawn[5] != drawn[6]
+    # A quotient's draws go by class: other names and another order of the edges change nothing.
+    turned = [[9, 8], [6, 9], [8, 7], [9, 7], [7, 6]]
+    forms = []
+    for state in (one, turned):
+        e = Evolution(spark, R.rules(path), Options(transition_rate=0.5, seed=5), quotient=True).start([state]).step(2)
+        forms.append((e.num_events(), sorted(r.form for r in e.class_rows.collect())))
+    assert forms[0] == forms[1]
+
+
+def test_quotient_counts_are_raw(spark):
+    """Counts by name of a quotient exploration are those of the whole evolution that it stands for."""
+    rules, init = [([(0, 1), (1, 2)], [(0, 1), (1, 3), (3, 2)])], [[0, 1], [1, 2], [2, 3], [3, 0]]
+    whole = evolve(spark, rules, init, 2)
+    q = Evolution(spark, R.rules(rules), Options(), quotient=True).start(init).step(2)
+    assert q.num_events() < whole.num_events()
+    for how in ({}, {"genesis": True}, {"reduce": False}, {"genesis": True, "reduce": False}):
+        for name in ("NumEvents", "NumCausalEdges", "NumBranchialEdges"):
+            assert results.result(q, name, **how) == results.result(whole, name, **how)
+    assert results.result(whole, "NumCausalEdges", genesis=True) == relations.causal_pairs(whole.causal_with_genesis()).count()
+
+
+def test_stop_seal_and_completion(spark):
+    grow, seen = [([(0, 1)], [(0, 2), (1, 2)])], []
+
+    def done(e, depth):
+        seen.append((depth, e.n_events))
+        if depth == 1:
+            e.request_stop()
+
+    e = Evolution(spark, R.rules(grow), on_depth=done).start([[0, 1]]).step(4)
+    assert seen == [(0, 1), (1, 3)] and e.steps == 2 and e.warnings[-1]["kind"] == "Stopped"
+    assert e.step().steps == 3 and e.num_events() == evolve(spark, grow, [[0, 1]], 3).num_events()
+    with pytest.raises(RuntimeError):
+        e.seal().step()
+
+
+def test_pairs_in_the_row(spark):
+    """Pairs that share several edges come once, with the least one."""
+    e = evolve(spark, [([(0, 1), (1, 0)], [(0, 1), (1, 0)])], [[0, 1], [1, 0], [0, 1]], 2)
+    pairs = e.branchial().collect()
+    triples = relations.branchial_triples(e.consumed).groupBy("event1", "event2").agg({"shared_edge": "min"}).collect()
+    assert sorted(map(tuple, pairs)) == sorted(map(tuple, triples)) and len({(p.event1, p.event2) for p in pairs}) == len(pairs)
+    for reduce in (True, False):
+        assert sorted(map(tuple, e.causal_pairs(reduce).collect())) == sorted(map(tuple, relations.causal_pairs(e.causal(reduce)).collect()))
+        assert sorted(map(tuple, e.causal_pairs(reduce, True).collect())) == sorted(map(tuple, relations.causal_pairs(e.causal_with_genesis(reduce)).collect()))
