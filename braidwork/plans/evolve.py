@@ -64,26 +64,37 @@ def initial_states(spark: SparkSession, states: list[list[list[int]]], renumber:
     return spark.createDataFrame(rows, "root long, verts array<array<bigint>>")
 
 
-def roots_of(table: DataFrame) -> DataFrame:
-    """State rows from root, verts. Edge ids are root * width + place, so that they are unique."""
-    width = table.agg(F.coalesce(F.max(F.size("verts")), F.lit(1)).alias("w")).first().w or 1
+def roots_of(table: DataFrame, width: int | None = None) -> DataFrame:
+    """State rows from root, verts. Edge ids are root * width + place, so that they are unique; width: edges of the largest root."""
+    if width is None:
+        width = table.agg(F.max(F.size("verts")).alias("w")).first().w or 1
     edge = F.transform("verts", lambda v, i: F.struct((F.col("root") * width + i).alias("edge_id"), v.alias("verts"), F.lit(None).cast("long").alias("creator"), F.lit(None).cast("int").alias("cdepth")))
     none = F.array().cast("array<struct<event_id:bigint,anc:bigint>>")
     return table.select(F.col("root").alias("state_id"), F.lit(0).alias("step"), "root", edge.cast(f"array<{EDGE}>").alias("edges"), none.alias("hist"))
 
 
-def numbered(rows: DataFrame, order: list[Column], first: int, name: str = "event_id", by: str = "state_id") -> DataFrame:
-    """rows with dense numbers from `first` in order of (by, order).
+def starts(rows: DataFrame, by: str) -> DataFrame:
+    """by, _start: how many rows have a smaller `by`.
 
     Counts by `by` are summed up in buckets of neighbouring values, then the buckets; only their totals meet in one task.
+    A left join infers no filter on counts, so that both uses of them share one shuffle.
     """
     counts = rows.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col(by) / BUCKET))
     totals = counts.groupBy("_b").agg(F.sum("_n").alias("_t"))
     base = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = counts.withColumn("_in", inner).join(base, "_b").select(by, (F.col("_base") + F.col("_in")).alias("_start"))
+    return counts.withColumn("_in", inner).join(base, "_b", "left").select(by, (F.col("_base") + F.col("_in")).alias("_start"))
+
+
+def numbered(rows: DataFrame, order: list[Column], first: int, name: str = "event_id", by: str = "state_id", of: DataFrame | None = None) -> DataFrame:
+    """rows with dense numbers from `first` in order of (by, order), and the columns of `of`, a table with a row for each `by`.
+
+    Joins are merges: Spark takes the size of exploded rows for that of the file they come from, and would broadcast them.
+    """
+    start = starts(rows, by).hint("merge")
+    held = start if of is None else of.join(start, by)
     own = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("_own", own).join(start, by).withColumn(name, F.col("_start") + F.col("_own") + first).drop("_own", "_start")
+    return rows.withColumn("_own", own).join(held.hint("merge"), by).withColumn(name, F.col("_start") + F.col("_own") + first).drop("_own", "_start")
 
 
 def _found(frontier: DataFrame, rules: list[R.Rule]) -> DataFrame:
@@ -185,10 +196,13 @@ class Evolution:
         if isinstance(init, list):
             several = bool(init) and bool(init[0]) and isinstance(init[0][0], (list, tuple))
             init = initial_states(self.spark, init if several else [init])
-        first = checkpointed(roots_of(init))
-        top = first.agg(F.count("*").alias("n"), F.max("state_id").alias("s"), F.max(F.expr("array_max(flatten(transform(edges, e -> e.verts)))")).alias("v"), F.max(F.expr("array_max(transform(edges, e -> e.edge_id))")).alias("e")).first()
+        init = checkpointed(init.select("root", "verts"))
+        highest = F.max(F.array_max(F.flatten("verts"))).alias("v")
+        top = init.agg(F.count("*").alias("n"), F.max("root").alias("s"), highest, F.max(F.size("verts")).alias("w")).first()
+        width = top.w or 1
+        first = roots_of(init, width)
         self.state0 = (top.s if top.s is not None else -1) + 1
-        self.n_roots, self.vertex0, self.edge0 = top.n, (top.v if top.v is not None else -1) + 1, (top.e if top.e is not None else -1) + 1
+        self.n_roots, self.vertex0, self.edge0 = top.n, (top.v if top.v is not None else -1) + 1, self.state0 * width
         self.state_parts, self.event_parts = [first], []
         self.levels: dict[int, DataFrame] = {0: first} if expand else {}
         self.n_events = 0
@@ -257,7 +271,7 @@ class Evolution:
             kept = keys.where(uniform(o.seed, F.lit("explore"), F.col("_key")) < o.exploration_probability)
             frontier = frontier.join(kept.select("state_id"), "state_id", "left_semi")
         found = _selected(_found(frontier, self.rules), keys, self.rules, o)
-        found = numbered(found, [F.col("rule"), F.col("consumed")], self.n_events)
+        found = numbered(found, [F.col("rule"), F.col("consumed")], self.n_events, of=frontier.select("state_id", "edges", "hist"))
         limits = [x for x in (o.max_states_per_step, None if o.max_events is None else o.max_events - self.n_events, None if o.max_states is None else o.max_states - self.n_roots - self.n_events) if x is not None]
         if limits:
             found = found.where(F.col("event_id") < self.n_events + max(0, min(limits)))
@@ -265,7 +279,6 @@ class Evolution:
             if found.isEmpty():
                 return  # nothing is left to expand
             raise ValueError(f"more than {MASK} steps")
-        found = found.join(frontier.select("state_id", "edges", "hist"), "state_id")
         rows = checkpointed(_rewritten(found, self.rules, level, self.state0, self.vertex0, self.edge0))
         n = rows.count()
         self.steps = max(self.steps, level)
