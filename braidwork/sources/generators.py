@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions import uniform
+from braidwork.operators.relations import checkpointed
 
 #: Events of one slice of a sprinkling, about.
 SLICE = 4096
@@ -116,14 +117,26 @@ def near_pairs(points: DataFrame, radius: float) -> DataFrame:
     return tile.join(other, ["tx", "ty"]).where((F.col("id") < F.col("id2")) & (dx * dx + dy * dy < radius * radius)).select(F.col("id").alias("src"), F.col("id2").alias("dst"))
 
 
-def light_cone(points: DataFrame, speed: float = 1.0, cutoff: float = float("inf"), tiles: int = 16) -> DataFrame:
+def _inside(t: Column, x: Column, t2: Column, x2: Column, speed: float, cutoff: float) -> Column:
+    """Whether (t2, x2) is inside the light cone of (t, x), within the cutoff."""
+    dt, dx = t2 - t, x2 - x
+    tau2 = dt * dt - dx * dx / (speed * speed)
+    ok = (dt > 0) & (tau2 > 0)
+    return ok & (tau2 <= cutoff * cutoff) if math.isfinite(cutoff) else ok
+
+
+def light_cone(points: DataFrame, speed: float = 1.0, cutoff: float = float("inf"), tiles: int = 16, reduce: bool = False) -> DataFrame:
     """(src, dst) of events (id, t, x): dst is later, inside src's light cone, and its proper time is within the cutoff.
 
-    Along u = t + x / speed and v = t - x / speed a cone is a quadrant. Events are put into square tiles of that plane and
-    joined with the tiles that the quadrant, and the cutoff, can reach (and one before, for rounding).
+    Along u = t + x / speed and v = t - x / speed a cone is a quadrant. Places are put into square tiles of that plane and
+    joined with the tiles that the quadrant, and the cutoff, can reach (and one before, for rounding). Events of one place have
+    the same links, so that places are linked once, and links dealt out by their later end before they are spelled out for events.
+    reduce leaves out links that one event in between joins, which is seen in its place: what is between isn't listed.
     Events without t or x have no links.
     """
-    s = points.select("id", "t", "x", (F.col("t") + F.col("x") / speed).alias("u"), (F.col("t") - F.col("x") / speed).alias("v"))
+    whole = points.where("t IS NOT NULL AND x IS NOT NULL").groupBy("t", "x").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids"))
+    whole = checkpointed(whole)
+    s = whole.select("id", "t", "x", (F.col("t") + F.col("x") / speed).alias("u"), (F.col("t") - F.col("x") / speed).alias("v"))
     box = s.agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1")).first()
     if box.u0 is None:
         return s.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
@@ -132,14 +145,18 @@ def light_cone(points: DataFrame, speed: float = 1.0, cutoff: float = float("inf
     o = s.select(F.col("id").alias("id2"), F.col("t").alias("t2"), F.col("x").alias("x2"), "a", "b")
     reach = s.select("id", "t", "x", "b", F.col("a").alias("a0"), F.explode(F.sequence(F.col("a") - 1, F.lit(tiles))).alias("a"))
     reach = reach.select("id", "t", "x", "a0", "a", F.col("b").alias("b0"), F.explode(F.sequence(F.col("b") - 1, F.lit(tiles))).alias("b"))
-    dt, dx = F.col("t2") - F.col("t"), F.col("x2") - F.col("x")
-    tau2 = dt * dt - dx * dx / (speed * speed)
-    ok = (dt > 0) & (tau2 > 0)
     if math.isfinite(cutoff):
-        ok = ok & (tau2 <= cutoff * cutoff)
         p, q = (F.greatest(F.col(n) - F.col(f"{n}0") - 1, F.lit(0)) for n in ("a", "b"))
         reach = reach.where(p * q * (side * side) <= cutoff * cutoff * (1 + 1e-9))
-    return reach.join(o, ["a", "b"]).where(ok).select(F.col("id").alias("src"), F.col("id2").alias("dst"))
+    pairs = reach.join(o, ["a", "b"]).where(_inside(F.col("t"), F.col("x"), F.col("t2"), F.col("x2"), speed, cutoff)).select("id", "id2", "t2", "x2")
+    if reduce:
+        pairs = checkpointed(pairs)
+        between = pairs.select(F.col("id").alias("_id"), F.col("t2").alias("_t"), F.col("x2").alias("_x")).hint("merge")
+        pairs = pairs.join(between, (F.col("id") == F.col("_id")) & _inside(F.col("_t"), F.col("_x"), F.col("t2"), F.col("x2"), speed, cutoff), "left_anti")
+    ids = whole.select("id", "ids").hint("merge")
+    pairs = pairs.select("id", "id2").join(ids.withColumnRenamed("ids", "_src"), "id")
+    pairs = pairs.join(ids.select(F.col("id").alias("id2"), F.col("ids").alias("_dst")).hint("merge"), "id2")
+    return pairs.select(F.explode("_src").alias("src"), "_dst").select("src", F.explode("_dst").alias("dst"))
 
 
 def without_shortcuts(pairs: DataFrame) -> DataFrame:
@@ -167,8 +184,7 @@ def first_links(pairs: DataFrame, most: int) -> DataFrame:
 def minkowski(spark: SparkSession, n: int, seed: int = 1, speed: float = 1.0, cutoff: float = float("inf"), reduce: bool = True, most_links: int = 0) -> tuple[DataFrame, DataFrame]:
     """Sprinkled events and their causal links."""
     points = sprinkled(spark, n, seed)
-    pairs = light_cone(points, speed, cutoff)
-    pairs = without_shortcuts(pairs) if reduce else pairs
+    pairs = light_cone(points, speed, cutoff, reduce=reduce)
     return points, first_links(pairs, most_links) if most_links > 0 else pairs
 
 

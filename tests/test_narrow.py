@@ -5,6 +5,7 @@ import pytest
 from braidwork.plans import evolve as plans
 from braidwork.plans import results
 from braidwork.plans.evolve import evolve
+from braidwork.sources import generators
 
 RULES = [[[["y", "z"], ["x", "y"]], [["x", "z"], ["z", "w"]]], [[["x", "x"]], [["x"]]], [[["x"], ["x", "y"]], [["y"]]]]
 STATES = [[[0, 1], [1, 2], [2, 2]], [[0, 1]], [[0, 0], [0], [0, 1]], [[0, 1], [1, 0], [0, 1]]]
@@ -40,3 +41,15 @@ def test_shuffles_nothing(spark):
     for df in (e.events, e.states, e.branchial(), e.global_edges(), e.causal_edges(), e.canonical_ids("None"), results.history(e), results.events(e, "None", minimal=True), *graphs):
         assert shuffles(df) == 0
     assert shuffles(e.canonical_ids("Automatic")) == 1
+
+
+def test_light_cone_of_copies(spark):
+    points = [(i, float(i * 37 % 11), float(i * 53 % 7)) for i in range(300)]  # 77 places
+    df = spark.createDataFrame([*points, (300, None, 1.0)], "id long, t double, x double")
+    inside = lambda a, b: 0 < b[1] - a[1] and 0 < (b[1] - a[1]) ** 2 - (b[2] - a[2]) ** 2 <= 25
+    pairs = {(a[0], b[0]) for a in points for b in points if inside(a, b)}
+    cone = generators.light_cone(df, cutoff=5.0)
+    assert sorted(map(tuple, cone.collect())) == sorted(pairs)
+    assert "explode(_src" in cone._jdf.queryExecution().optimizedPlan().toString()  # places are linked, not events
+    plain = generators.without_shortcuts(cone)
+    assert rows(generators.light_cone(df, cutoff=5.0, reduce=True)) == rows(plain)
