@@ -2,9 +2,12 @@
 
 import pytest
 
+from braidwork import rules as R
+from braidwork.operators import canonical
 from braidwork.plans import evolve as plans
 from braidwork.plans import results
-from braidwork.plans.evolve import evolve
+from braidwork.plans.evolve import Evolution, Options, evolve
+from braidwork.plans.replay import replay
 from braidwork.sources import generators
 
 RULES = [[[["y", "z"], ["x", "y"]], [["x", "z"], ["z", "w"]]], [[["x", "x"]], [["x"]]], [[["x"], ["x", "y"]], [["y"]]]]
@@ -53,3 +56,27 @@ def test_light_cone_of_copies(spark):
     assert "explode(_src" in cone._jdf.queryExecution().optimizedPlan().toString()  # places are linked, not events
     plain = generators.without_shortcuts(cone)
     assert rows(generators.light_cone(df, cutoff=5.0, reduce=True)) == rows(plain)
+
+
+def test_replay_shuffles_nothing(spark):
+    q = replay(Evolution(spark, R.rules(RULES), Options(), quotient=True).start(STATES).step(3))
+    for df in (q.events, q.causal_pairs(), q.branchial()):
+        assert shuffles(df) == 0
+    found = q.events.orderBy("event_id").collect()
+    assert [r.event_id for r in found] == list(range(len(found))) and q.num_events() == len(found)
+    assert [r.input_state for r in found] == sorted(r.input_state for r in found)
+    full = evolve(spark, RULES, STATES, 3)
+    by = lambda e: rows(e.branchial(with_step=True).groupBy("step").count())
+    assert by(q) == by(full)
+    at = {r.event_id: r for r in found}
+    for a, b, edge in map(tuple, q.branchial().collect()):
+        assert a < b and at[a].input_state == at[b].input_state and edge == min(set(at[a].consumed) & set(at[b].consumed))
+
+
+def test_forms_of_reordered_edges(spark):
+    edges = [(0, 1), (1, 1), (1, 2), (2, 0), (0, 1)]
+    canonical._component.cache_clear()
+    forms = {canonical.canonical([edges[(i + k) % 5] for i in range(5)])[0] for k in range(5)}
+    assert len(forms) == 1 and canonical._component.cache_info().misses < 5
+    e = evolve(spark, RULES, STATES, 1)
+    assert shuffles(canonical.with_form(e.states)) == shuffles(canonical.with_frame(e.states)) == 0
