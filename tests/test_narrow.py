@@ -1,9 +1,12 @@
 """Steps and results that shuffle nothing but the first states, against the ways that shuffle."""
 
+import itertools
+
+import numpy as np
 import pytest
 
 from braidwork import rules as R
-from braidwork.operators import canonical
+from braidwork.operators import canonical, listing, match
 from braidwork.plans import evolve as plans
 from braidwork.plans import results
 from braidwork.plans.evolve import Evolution, Options, evolve
@@ -88,3 +91,41 @@ def test_states_shuffle_lines_once(spark, family):
     states = tables.states(spark, sf, family)
     assert shuffles(states) == 1 and "Window" not in states._jdf.queryExecution().executedPlan().toString()
     assert rows(states.selectExpr("state_id", "inline(edges)").select("state_id", "edge_id", "verts")) == rows(tables.edges(spark, sf, family))
+
+
+def test_listing(monkeypatch):
+    found, rng = R.rules(RULES), np.random.default_rng(5)
+    states = [[tuple(int(v) for v in rng.integers(0, 3, rng.integers(1, 3))) for _ in range(k)] for k in (3, 0, 5, 1, 4)]
+
+    def brute(state, codes):
+        out = []
+        for i, r in enumerate(codes.rules):
+            for at in itertools.permutations(range(len(state)), len(r.lhs)):
+                bound = {}
+                if all(len(state[a]) == len(e) and all(bound.setdefault(v, x) == x for v, x in zip(e, state[a])) for a, e in zip(at, r.lhs)):
+                    rest = [e for k, e in enumerate(state) if k not in at]
+                    fresh = {v: 9 + k for k, v in enumerate(r.new_variables)}
+                    out.append((i * codes.span + sum(a << codes.shift(p) for p, a in enumerate(at)), rest + [tuple((bound | fresh)[v] for v in e) for e in r.rhs]))
+        return sorted(out)
+
+    def flat(states):
+        edges = [e for s in states for e in s]
+        return listing.Flat(np.array([len(s) for s in states]), np.array([len(e) for e in edges]), [np.array([(*e, 0, 0)[k] for e in edges]) for k in range(2)])
+
+    codes = match.Codes(found, 8)
+    expected = [brute(s, codes) for s in states]
+    state, code = listing.found(codes, flat(states))
+    assert list(zip(state, code)) == [(i, c) for i, s in enumerate(expected) for c, _ in s]
+    kids = listing.children(codes, flat(states), state, code, 9)
+    ends = np.cumsum(kids.counts)
+    assert [[tuple(int(v[e]) for v in kids.verts)[: kids.arity[e]] for e in range(b - n, b)] for b, n in zip(ends, kids.counts)] == [k for s in expected for _, k in s]
+    monkeypatch.setattr(listing, "CANDIDATES", 3)
+    assert list(listing.slices(np.array([0, 1, 2, 9, 1, 1, 5]))) == [(0, 3), (3, 4), (4, 6), (6, 7)]
+
+
+def test_cliques_and_vertices_shuffle_nothing(spark):
+    e = evolve(spark, RULES, STATES, 2)
+    cliques = e.clique_sizes()
+    assert shuffles(cliques) == 0 and shuffles(e.graph_vertices("EvolutionGraph")) == 0
+    plain = e.consumed.groupBy("input_state", "edge_id").count().groupBy("input_state").agg({"*": "count", "count": "max"}).select("input_state", "`count(1)`", "`max(count)`")
+    assert rows(cliques.toDF("input_state", "count(1)", "max(count)")) == rows(plain)
