@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.operators import relations
+from braidwork.operators.listing import BLOCK
 from braidwork.operators.relations import checkpointed
-from braidwork.plans.evolve import BLOCK, Evolution, ancestry
+from braidwork.plans.evolve import Evolution, ancestry
 
 MAKER = "array<struct<creator:bigint,cdepth:int>>"
 

@@ -138,3 +138,36 @@ def test_steered_step_lists_one_depth(spark):
     whole = evolve(spark, RULES, STATES, 2)
     ends = lambda x: rows(x.events.where("step = 2 AND input_state % 2 = 0").select("input_state", "rule", "consumed"))
     assert ends(e) == ends(whole)
+
+
+def made_in_blocks(spark):
+    states = [(i, [list(e) for e in s]) for i, s in enumerate(STATES)]
+    return listing.Blocks(spark.createDataFrame(states, listing.ROOTS).coalesce(1).sortWithinPartitions("root"), lambda batches: batches)
+
+
+@pytest.mark.parametrize(("guessed", "limits"), [(plans.GUESSED, {}), (plans.GUESSED, {"max_events": 9}), (1, {})])  # 1: too narrow for some states
+def test_roots_listed_as_made(spark, monkeypatch, guessed, limits):
+    monkeypatch.setattr(plans, "GUESSED", guessed)
+    e, plain = evolve(spark, RULES, made_in_blocks(spark), 2, **limits), evolve(spark, RULES, STATES, 2, **limits)
+    assert bool(e.guess) == (guessed > 1)
+    assert rows(e.events) == rows(plain.events) and rows(e.branchial()) == rows(plain.branchial())
+
+
+def test_two_steps_write_roots_once(spark, monkeypatch):
+    written, write = [], plans.checkpointed
+    monkeypatch.setattr(plans, "checkpointed", lambda df: (written.append(df), write(df))[1])
+    path2 = [[["x", "y"], ["y", "z"]], [["x", "z"]]]
+    e = evolve(spark, [path2], tables.root_blocks(spark, "/root/testdata/sf0.001"), 2)
+    assert len(written) == 2 and sum(map(shuffles, written)) == 2  # lines by block, sums by block
+    plain = evolve(spark, [path2], tables.roots(spark, "/root/testdata/sf0.001"), 2)
+    assert rows(e.events) == rows(plain.events) and rows(e.branchial()) == rows(plain.branchial())
+
+
+def test_found_by_vertex(monkeypatch):
+    rng = np.random.default_rng(7)
+    counts = rng.integers(0, 7, 40)
+    codes = match.Codes(R.rules([[[["x", "y"], ["y", "z"], ["z", "x"]], []], [[["x", "x"], ["x", "y"]], []], [[["x", "y"], ["x", "y"]], []]]), 8)
+    flat = listing.Flat(counts, np.full(counts.sum(), 2), [rng.integers(-3, 3, counts.sum()) for _ in range(2)])
+    by_vertex = listing.found(codes, flat)
+    monkeypatch.setattr(listing, "KEYS", 0)
+    assert len(by_vertex[1]) and all(map(np.array_equal, by_vertex, listing.found(codes, flat)))
